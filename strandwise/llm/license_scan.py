@@ -68,7 +68,7 @@ def scan(docs: DataFrame, key: list[str], text: str = "text", phrases=PHRASES, n
     met = rolled.join(F.broadcast(grams), "gram").where((F.col("kind") == "doc") | ((F.col("kk") == F.col("k")) & (F.expr("array_join(slice(_w, pos + 1, k), ' ')") == F.col("gram_text"))))
     hit = met.select(*key, "_x", "t", "kind", "label", "grams", "k", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"), F.when(F.col("kind") == "doc", F.size("_w")).cast("long").alias("n_words"))
     by = [*key, "_x"]
-    votes = hit.groupBy(*by, "t", "kind", "label", "grams", "k", "diagonal").agg(F.collect_set("tpos").alias("tposs"), F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
+    votes = hit.groupBy(*by, "t", "kind", "label", "grams", "k", "diagonal").agg(F.collect_set("tpos").alias("tposs"), F.max("n_words").alias("n_words"), F.when(F.first("kind") == "doc", F.count("*")).alias("copies"))
 
     exact = votes.where("kind = 'doc' OR (kind = 'phrase' AND size(tposs) = grams)").select(
         *by, "t", "kind", "label", F.col("diagonal").cast("long").alias("first"), (F.col("diagonal") + F.col("grams") + F.col("k") - 2).cast("long").alias("last"), F.lit(1.0).alias("score"), "n_words", "copies"
