@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import license_scan, url_filter
+from . import fingerprint, license_scan, mixing, url_filter
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_fingerprint": fingerprint.op2_fingerprint,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_license_scan": license_scan.op10_license_scan,
 }
