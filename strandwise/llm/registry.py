@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprint, license_scan, mixing, url_filter
+from . import fingerprint, license_scan, mixing, near_dedup, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_fingerprint": fingerprint.op2_fingerprint,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_license_scan": license_scan.op10_license_scan,
 }
