@@ -15,7 +15,7 @@ LAST = 2**63 - 1
 def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
     """64-bit hashes of all `width`-word shingles; a shorter text is one shingle, a text without words none."""
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
-    roll = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.slice(w, i, width)))
+    roll = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(width))))
     several = lambda w: F.when(F.size(w) >= width, roll(w)).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
     return F.element_at(F.transform(F.array(words), several), 1)
 

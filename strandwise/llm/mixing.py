@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import GAP, WORD, stage, table
+from .shared import GAP, stage, table
 
 WEIGHTS, FACTOR, BLOCK, SHARDS, SEED, ROUNDS = (1, 2, 3), 3, 64, 64, 17, 16
 BEFORE = (W.unboundedPreceding, -1)
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.size(F.array_remove(F.split(text, GAP), "")), F.lit(0)).cast("long")
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, factor: int = FACTOR) -> DataFrame:
