@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, license_scan, mixing, near_dedup, url_filter
+from . import embedding_dedup, fingerprint, license_scan, mixing, near_dedup, packing, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_fingerprint": fingerprint.op2_fingerprint,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_license_scan": license_scan.op10_license_scan,
