@@ -59,10 +59,17 @@ def scan(docs: DataFrame, key: list[str], text: str = "text", phrases=PHRASES, n
     """
     spark = docs.sparkSession
     grams = template_grams(spark, phrases, notices, k_phrase, k_notice)
-    gram = lambda k: f"transform(sequence(0, size(_w) - {k}), i -> struct(i AS pos, {k} AS kk, xxhash64({k}, {' || \" \" || '.join(f'_w[i + {j}]' for j in range(k))}) AS g))"
-    all_grams = F.expr(
-        f"concat(array(struct(-1 AS pos, 0 AS kk, {SELF}L AS g)), if(size(_w) >= {k_phrase}, {gram(k_phrase)}, array()), if(size(_w) >= {k_notice}, {gram(k_notice)}, array()))"
-    )
+
+    def gram(k: int, texts: list[str]) -> str:
+        """The k-grams of _w as (pos, kk, g); those whose first word opens no template gram can't meet any and are left out before hashing."""
+        words = [x.split() for x in texts]
+        first = ", ".join(f"'{x}'" for x in sorted({w[i] for w in words for i in range(len(w) - k + 1)}))
+        if not first:
+            return "array()"
+        rolled = " || ' ' || ".join(f"_w[i + {j}]" for j in range(k))
+        return f"if(size(_w) >= {k}, transform(filter(sequence(0, size(_w) - {k}), i -> _w[i] IN ({first})), i -> struct(i AS pos, {k} AS kk, xxhash64({k}, {rolled}) AS g)), array())"
+
+    all_grams = F.expr(f"concat(array(struct(-1 AS pos, 0 AS kk, {SELF}L AS g)), {gram(k_phrase, [x[0] for x in phrases])}, {gram(k_notice, [x[0] for x in notices])})")
     cut = docs.select(*key, F.xxhash64(text).alias("_x"), words_of(F.col(text)).alias("_w"))
     rolled = cut.select(*key, "_x", "_w", F.explode(all_grams).alias("_g")).select(*key, "_x", "_w", "_g.pos", F.col("_g.kk").alias("kk"), F.col("_g.g").alias("gram"))
     met = rolled.join(F.broadcast(grams), "gram").where((F.col("kind") == "doc") | ((F.col("kk") == F.col("k")) & (F.expr("array_join(slice(_w, pos + 1, k), ' ')") == F.col("gram_text"))))
@@ -70,17 +77,15 @@ def scan(docs: DataFrame, key: list[str], text: str = "text", phrases=PHRASES, n
     by = [*key, "_x"]
     votes = hit.groupBy(*by, "t", "kind", "label", "grams", "k", "diagonal").agg(F.collect_set("tpos").alias("tposs"), F.max("n_words").alias("n_words"), F.when(F.first("kind") == "doc", F.count("*")).alias("copies"))
 
-    exact = votes.where("kind = 'doc' OR (kind = 'phrase' AND size(tposs) = grams)").select(
-        *by, "t", "kind", "label", F.col("diagonal").cast("long").alias("first"), (F.col("diagonal") + F.col("grams") + F.col("k") - 2).cast("long").alias("last"), F.lit(1.0).alias("score"), "n_words", "copies"
-    )
     order = W.partitionBy(*by, "t").orderBy("diagonal")
-    near = votes.where("kind = 'notice'").withColumn("_new", F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= shift, 0).otherwise(1))
-    near = near.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    merged = near.groupBy(*by, "t", "kind", "label", "grams", "_run").agg(
+    joined = (F.col("kind") == "notice") & (F.col("diagonal") - F.lag("diagonal").over(order) <= shift)
+    votes = votes.withColumn("_new", F.when(joined, 0).otherwise(1))
+    votes = votes.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    found = votes.groupBy(*by, "t", "kind", "label", "grams", "_run").agg(
         F.min(F.col("diagonal") + F.array_min("tposs")).cast("long").alias("first"), F.max(F.col("diagonal") + F.array_max("tposs") + F.col("k") - 1).cast("long").alias("last"),
-        (F.size(F.array_distinct(F.flatten(F.collect_list("tposs")))) / F.col("grams")).alias("score"),
+        (F.size(F.array_distinct(F.flatten(F.collect_list("tposs")))) / F.col("grams")).alias("score"), F.max("n_words").alias("n_words"), F.max("copies").alias("copies"),
     )
-    found = exact.unionByName(merged.where(F.col("score") >= coverage).select(*by, "t", "kind", "label", "first", "last", "score", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("long").alias("copies")))
+    found = found.where((F.col("kind") == "doc") | (F.col("score") >= F.when(F.col("kind") == "phrase", 1.0).otherwise(coverage)))
     spans = found.where("kind <> 'doc'").select(*key, "t", "label", "kind", "first", "last", "score")
     span = F.when(F.col("kind") != "doc", F.struct("kind", "label", "first", "last", "score"))
     whole = found.groupBy(*by).agg(F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.collect_list(span).alias("spans"))
