@@ -11,65 +11,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import components, stage, table
-from .shingles import MinHash, mixed, overlap, shingle_set
+from .shingles import MinHash, mixed, overlap, shingle_set, unpacked
 
-#: 64 slots in 8 chunks: two signatures that differ in at most 15 slots agree, but for one slot, in some chunk.
-SLOTS, CHUNKS, PERCENT = 64, 8, 85
-#: Candidates whose signatures differ in more slots aren't looked at in full; at 85 % likeness 9.6 slots differ, and more than 26 for a few pairs in ten million.
-FAR = 26
-TILE = 512
+#: 64 slots in 8 chunks: two signatures that differ in at most 15 of these agree, but for one slot, in some chunk.
+KEYED, CHUNKS, PERCENT = 64, 8, 85
+#: All slots. Candidates that differ in more than FAR aren't looked at in full; at 85 % likeness 38 slots differ, and more than FAR for three pairs in a hundred thousand.
+SLOTS, FAR = 256, 62
+TILE, ROUNDS = 512, 3
 
 
-def signatures(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, n_shingles, digest (of the whole set), sig (slots of 16 bits) for every text; null without words."""
+def signatures(docs: DataFrame, slots: int = SLOTS, keyed: int = KEYED) -> DataFrame:
+    """doc_id, n_shingles, digest (of the whole set), sig for every text; the last two null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash = MinHash(slots)
+        minhash = MinHash(slots, keyed)
         for batch in batches:
             ns, digests, sigs = [], [], []
             for data in batch.column(1):
                 own = shingle_set(data.as_py())
                 ns.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                sigs.append(minhash(own).tobytes() if len(own) else None)
+                sigs.append(minhash(own) if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def chunk_keys(classes: DataFrame, slots: int = SLOTS, chunks: int = CHUNKS) -> DataFrame:
-    """(key, doc_id): a key for each chunk and each slot left out of it, which is one allowed error."""
-    each = slots // chunks
+def chunk_keys(classes: DataFrame, keyed: int = KEYED, chunks: int = CHUNKS) -> DataFrame:
+    """(key, slot, doc_id): a key for each chunk and each slot left out of it, which is one allowed error."""
+    each = keyed // chunks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(5)
-        odd = rng.integers(0, 2**63, slots, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        salts = rng.integers(0, 2**63, slots, dtype=np.uint64)
+        odd = rng.integers(0, 2**63, keyed, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        salts = rng.integers(0, 2**63, keyed, dtype=np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, slots).astype(np.uint64) + np.uint64(1)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            terms = mixed(sig * odd)
+            ids = batch.column(0)
+            terms = mixed((unpacked(batch.column(1).to_pylist(), keyed)[0].astype(np.uint64) + np.uint64(1)) * odd)
             for c in range(chunks):
                 part = terms[:, c * each : (c + 1) * each]
                 whole = part.sum(1, dtype=np.uint64)
                 for omit in range(each):
-                    key = mixed(whole - part[:, omit] + salts[c * each + omit])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], ["key", "doc_id"])
+                    slot = c * each + omit
+                    key = mixed(whole - part[:, omit] + salts[slot])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), slot, np.int32)), ids], ["key", "slot", "doc_id"])
 
-    return classes.select("doc_id", "sig").mapInArrow(run, "key long, doc_id long")
+    return classes.select("doc_id", "sig").mapInArrow(run, "key long, slot int, doc_id long")
 
 
-def within(pairs: DataFrame, classes: DataFrame, far: int = FAR) -> DataFrame:
+def within(pairs: DataFrame, classes: DataFrame, far: int = FAR, keyed: int = KEYED) -> DataFrame:
     """The pairs (a, b) whose signatures differ in at most `far` slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
-                near = pa.array((x != y).sum(1) <= far)
-                yield batch.select([0, 1]).filter(near)
+                (x, xs), (y, ys) = (unpacked(batch.column(i).to_pylist(), keyed) for i in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array((x != y).sum(1) + (xs != ys).sum(1) <= far))
 
     sig = lambda c: classes.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"))
     return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
@@ -95,43 +94,80 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
 
 
-def open_pairs(members: DataFrame, tile: int = TILE, far: int = FAR) -> DataFrame:
-    """Near pairs (a, b) of different components in the same key; members: key, doc_id, component, sig.
+def open_links(members: DataFrame, classes: DataFrame, texts: DataFrame, tile: int = TILE, far: int = FAR, keyed: int = KEYED, chunks: int = CHUNKS, percent: int = PERCENT) -> DataFrame:
+    """Confirmed links (a, b) that join different components in the same key; members: key, slot, doc_id, component.
 
     A key's members are dealt into blocks by hash, and every two blocks meet in a task of their own,
-    so that the size of a task doesn't grow with the key's.
+    so that the size of a task doesn't grow with the key's. Signatures give the near pairs; one that
+    shares several keys counts in the first only, which both signatures tell. Pairs stay lists inside
+    their tile: the texts of those concerned join the tile, where pairs not yet connected there are
+    confirmed. So no more rows leave a tile than it has members.
     """
+    each = keyed // chunks
     sizes = members.groupBy("key").agg(F.count("*").alias("_n"))
-    m = members.join(sizes, "key").withColumn("_k", F.ceil(F.col("_n") / tile).cast("int"))
+    m = members.join(classes.select("doc_id", "sig"), "doc_id").join(sizes, "key").withColumn("_k", F.ceil(F.col("_n") / tile).cast("int"))
     m = m.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
     m = m.withColumn("_other", F.explode(F.expr("sequence(0, _k - 1)")))
-    m = m.select("key", "doc_id", "component", "sig", "_own", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
+    m = m.select("key", "slot", "doc_id", "component", "sig", "_own", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
 
-    def run(key, batch):
+    def near(key, batch):
         own, i, j = batch.column("_own").to_numpy(), key[1].as_py(), key[2].as_py()
+        slot = batch.column("slot")[0].as_py()
         ids, comp = batch.column("doc_id").to_numpy(), batch.column("component").to_numpy()
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+        wide, rest = unpacked(batch.column("sig").to_pylist(), keyed)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found_a, found_b = [], []
+        found, concerned = {}, np.zeros(len(ids), bool)
         for x in left:
             y = right[(ids[right] > ids[x]) if i == j else np.ones(len(right), bool)]
             y = y[comp[y] != comp[x]]
-            y = y[(sig[y] != sig[x]).sum(1) <= far]
-            found_a.append(np.full(len(y), ids[x]))
-            found_b.append(ids[y])
-        a, b = (np.concatenate([np.empty(0, np.int64), *f]).astype(np.int64) for f in (found_a, found_b))
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    return m.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
-
-
-def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+            if not len(y):
+                continue
+            differ = wide[y] != wide[x]
+            close = differ.sum(1) + (rest[y] != rest[x]).sum(1) <= far
+            y, differ = y[close], differ[close].reshape(-1, chunks, each)
+            errors = differ.sum(2)
+            chunk = (errors <= 1).argmax(1)
+            every = np.arange(len(y))
+            omit = np.where(errors[every, chunk] == 1, differ[every, chunk].argmax(1), 0)
+            y = y[chunk * each + omit == slot]
+            if len(y):
+                found[x] = ids[y]
+                concerned[x] = concerned[y] = True
+        rows = np.flatnonzero(concerned)
+        partners = pa.array([found.get(x, np.empty(0, np.int64)) for x in rows], pa.list_(pa.int64()))
+        return pa.table({"key": pa.array(np.full(len(rows), key[0].as_py())), "i": pa.array(np.full(len(rows), i, np.int32)), "j": pa.array(np.full(len(rows), j, np.int32)), "doc_id": pa.array(ids[rows]), "component": pa.array(comp[rows]), "partners": partners})
+
+    def confirm(key, batch):
+        ids, comp = batch.column("doc_id").to_pylist(), batch.column("component").to_pylist()
+        sets = {i: shingle_set(x.as_py()) for i, x in zip(ids, batch.column("data"))}
+        root = dict(zip(ids, comp)) | {c: c for c in comp}
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        a, b = [], []
+        for x, partners in zip(ids, batch.column("partners").to_pylist()):
+            for y in partners:
+                if top(x) != top(y) and 100 * (n := overlap(sets[x], sets[y])) >= percent * (len(sets[x]) + len(sets[y]) - n):
+                    root[top(x)] = top(y)
+                    a.append(max(x, y))
+                    b.append(min(x, y))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    tiles = m.groupBy("key", "i", "j").applyInArrow(near, "key long, i int, j int, doc_id long, component long, partners array<long>")
+    return tiles.join(texts, "doc_id").groupBy("key", "i", "j").applyInArrow(confirm, "a long, b long")
+
+
+def near_groups(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, digest, component_id for every row of docs (doc_id, text).
 
     Texts with equal sets of shingles are one class, represented by its smallest doc_id, however many
-    copies there are. Class signatures meet on chunk keys. In each key every member is first compared
-    to the smallest; then members that are still in different components are compared with each
-    other, so that no link between components is lost though pairs within one are never listed.
+    copies there are. Class signatures meet on chunk keys. In some rounds every member of a key is
+    compared to one of them, another in each round, if their components differ. Then the members that
+    are still in different components are compared with each other, so that no link between
+    components is lost though pairs within one are never listed.
     Null and empty texts and null ids link with nothing; rows that share a doc_id are one node.
     """
     docs = docs.select("doc_id", "text")
@@ -140,27 +176,40 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = stage(classes, "classes")
 
     keys = chunk_keys(classes)
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = stage(keys.join(shared, "key").select("key", "doc_id", "pivot"), "members")
-    first = within(members.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), classes)
-    first = stage(first, "pairs")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = stage(keys.join(shared, "key"), "members")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("data"))
     texts = stage(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-    links = stage(confirmed(first, texts), "links")
-    groups = components(links)
-
-    held = members.select("key", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    still = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = stage(held.join(still, "key", "left_semi"), "open")
-    second = open_pairs(rest.join(classes.select("doc_id", "sig"), "doc_id")).distinct()
-    second = stage(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = confirmed(second, texts)
-    edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = components(edges).withColumnRenamed("node", "_rep").withColumnRenamed("component", "_least")
+
+    held, tested, groups = members.withColumn("component", F.col("doc_id")), None, None
+    for n in range(rounds):
+        # in every key that joins several components, compare its members to one of them
+        pivot = F.min_by("doc_id", F.xxhash64(F.lit(n), "doc_id")).alias("b")
+        pivots = held.groupBy("key").agg(pivot, F.min_by("component", F.xxhash64(F.lit(n), "doc_id")).alias("of"))
+        pairs = held.join(pivots, "key").where("component <> of").select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+        pairs = stage(within(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), classes), "pairs")
+        links = confirmed(pairs, texts)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        edges = links if groups is None else links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        groups = components(edges)
+        held = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        several = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        held = stage(held.join(several, "key", "left_semi"), "open")
+
+    final = components(open_links(held, classes, texts).unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    final = final.withColumnRenamed("node", "_rep").withColumnRenamed("component", "_least")
     by_class = classes.select("digest", F.col("doc_id").alias("_rep")).join(final, "_rep", "left").select("digest", F.coalesce("_least", "_rep").alias("_group"))
     return sigs.drop("sig").join(by_class, "digest", "left").select("doc_id", "n_shingles", "digest", F.coalesce("_group", "doc_id").alias("component_id"))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is their group's smallest, one each; rows with a null doc_id all stay."""
+    groups = near_groups(docs)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

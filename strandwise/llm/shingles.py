@@ -62,15 +62,26 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class MinHash:
-    """Signatures of `slots` minima of random linear maps, reduced to 16 bits each."""
+    """Signatures of `slots` minima of random linear maps modulo 2^32: `keyed` of them as 16 bits, the others as 8."""
 
-    def __init__(self, slots: int, seed: int = 11):
+    def __init__(self, slots: int, keyed: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.a = rng.integers(0, 2**63, slots, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 2**63, slots, dtype=np.uint64)
-
-    def __call__(self, hashes: np.ndarray, chunk: int = 2048) -> np.ndarray:
-        least = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(hashes), chunk):
-            np.minimum(least, (np.multiply.outer(self.a, hashes[i : i + chunk]) + self.b[:, None]).min(1), out=least)
-        return ((least >> np.uint64(8)) ^ (least >> np.uint64(32))).astype(np.uint16)
+        self.a = rng.integers(0, 2**31, slots, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.b = rng.integers(0, 2**32, slots, dtype=np.uint32)
+        self.keyed = keyed
+
+    def __call__(self, hashes: np.ndarray, chunk: int = 512) -> bytes:
+        least = np.full(len(self.a), 2**32 - 1, np.uint32)
+        short = (hashes >> np.uint64(32)).astype(np.uint32)
+        for i in range(0, len(short), chunk):
+            values = np.multiply.outer(self.a, short[i : i + chunk])
+            values += self.b[:, None]
+            np.minimum(least, values.min(1), out=least)
+        least ^= least >> np.uint32(9)
+        return least[: self.keyed].astype(np.uint16).tobytes() + least[self.keyed :].astype(np.uint8).tobytes()
+
+
+def unpacked(sigs: list[bytes], keyed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of (16-bit slots, 8-bit slots)."""
+    flat = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+    return np.ascontiguousarray(flat[:, : 2 * keyed]).view(np.uint16), flat[:, 2 * keyed :]
