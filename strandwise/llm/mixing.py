@@ -52,27 +52,27 @@ def permuted(j: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
 
 
 def placed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, source, skey, size, start: where each document's words begin in its source's word sequence.
+    """doc_id, source, skey, size, hash (of the text), start: where each document's words begin in its source's word sequence.
 
     The order within a source is by hashed bucket, then doc_id. A prefix sum runs in about sqrt(n)
     buckets per source and one over the buckets, so that no task holds a source. Both tables are staged.
     """
     skey = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    sized = stage(docs.select("doc_id", "source", skey.alias("skey"), word_count(F.col(text)).alias("size")), "sizes")
+    sized = stage(docs.select("doc_id", "source", skey.alias("skey"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("hash")), "sizes")
     buckets = max(1, math.isqrt(sized.count()))
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
-    inner = F.coalesce(F.sum("size").over(W.partitionBy("skey", "bucket").orderBy("doc_id", "size").rowsBetween(*BEFORE)), F.lit(0))
+    inner = F.coalesce(F.sum("size").over(W.partitionBy("skey", "bucket").orderBy("doc_id", "size", "hash").rowsBetween(*BEFORE)), F.lit(0))
     totals = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("total"))
     base = F.coalesce(F.sum("total").over(W.partitionBy("skey").orderBy("bucket").rowsBetween(*BEFORE)), F.lit(0))
     bases = totals.select("skey", "bucket", base.alias("base"))
     out = sized.withColumn("inner", inner).join(bases, ["skey", "bucket"])
-    return stage(out.select("doc_id", "source", "skey", "size", (F.col("base") + F.col("inner")).alias("start")), "placed")
+    return stage(out.select("doc_id", "source", "skey", "size", "hash", (F.col("base") + F.col("inner")).alias("start")), "placed")
 
 
 def mix(places: DataFrame, targets: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix: one row for each piece of a document in a drawn block.
 
-    Returns shard, skey, slot, block, doc_id, start, size, from_word, n_words. A source is cut into
+    Returns shard, skey, slot, block, doc_id, start, size, hash, from_word, n_words. A source is cut into
     blocks of `block` words. It gets as many slots as bring its words nearest its target: whole rounds
     of all its blocks, then a partial round. Every slot falls into a shard by hash, independently, so
     that the counts of sources in the shards are multinomial draws given each source's total. Slot j of
@@ -94,8 +94,8 @@ def mix(places: DataFrame, targets: DataFrame, block: int = BLOCK, shards: int =
     inside = places.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     left = F.greatest(F.col("block") * block, "start")
     right = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
-    pieces = inside.select("skey", "block", "doc_id", "start", "size", (left - F.col("start")).alias("from_word"), (right - left).alias("n_words"))
-    return slots.join(pieces, ["skey", "block"]).select("shard", "skey", "slot", "block", "doc_id", "start", "size", "from_word", "n_words")
+    pieces = inside.select("skey", "block", "doc_id", "start", "size", "hash", (left - F.col("start")).alias("from_word"), (right - left).alias("n_words"))
+    return slots.join(pieces, ["skey", "block"]).select("shard", "skey", "slot", "block", "doc_id", "start", "size", "hash", "from_word", "n_words")
 
 
 def mixed_documents(docs: DataFrame, block: int = 2048, seed: int = SEED) -> DataFrame:
@@ -106,11 +106,13 @@ def mixed_documents(docs: DataFrame, block: int = 2048, seed: int = SEED) -> Dat
     """
     columns = docs.columns
     places = placed(docs)
-    drawn = mix(places, source_targets(places), block, SHARDS, seed).select("doc_id", "skey", "start", "size", "from_word", "n_words")
-    own = docs.withColumns({"skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "size": word_count(F.col("text"))})
-    taken = own.join(drawn.drop("start"), ["skey", "doc_id", "size"])
+    drawn = mix(places, source_targets(places), block, SHARDS, seed)
+    keys = {"_skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_hash": F.xxhash64("text"), "_size": word_count(F.col("text"))}
+    own = docs.withColumns(keys).dropDuplicates(list(keys))  # equal rows have each its own places in the mix
+    place = drawn.select(F.col("skey").alias("_skey"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("hash").alias("_hash"), F.col("size").alias("_size"), F.col("from_word").alias("_from"), F.col("n_words").alias("_n"))
+    taken = own.join(place, list(keys))
     words = F.array_remove(F.split("text", GAP), "")
-    piece = F.when(F.col("n_words") == F.col("size"), F.col("text")).otherwise(F.concat_ws(" ", F.slice(words, (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int"))))
+    piece = F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(F.concat_ws(" ", F.slice(words, (F.col("_from") + 1).cast("int"), F.col("_n").cast("int"))))
     return taken.withColumn("text", piece).withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
 
 
