@@ -1,4 +1,475 @@
-"""Queries over the supplied tables and the SQL that gives the same rows."""
+"""Queries over the supplied tables and the SQL that gives the same rows.
+
+There is no table of reads, so reads are windows of 60 letters of documents, letters mapped to bases
+and to quality characters; the last window of a document may be shorter than a k-mer or empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandwise.functions import kmers as fk
+from strandwise.operators import regions, setops, solid, spectrum, thresholds, votes
+
+K, MIN, SOLID, WIDTH, PER_DOC = 13, 2, 3, 60, 6
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+BASES = "ACGTACGTACGTACGTACGTACGTNA"
+QUALS = "#$%&()*+,-./0123456789:;<="
+LOW, FIRST_K = 12, 13
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("t"))
+    d = docs.where(F.length("t") >= WIDTH).select("doc_id", F.translate("t", LETTERS, BASES).alias("s"), F.translate("t", LETTERS, QUALS).alias("q"))
+    i = F.explode(F.expr(f"sequence(0L, least(cast(length(s) as bigint) div {WIDTH}, {PER_DOC - 1}L))")).alias("i")
+    cut = lambda c: F.substr(c, (F.col("i") * WIDTH + 1).cast("int"), F.lit(WIDTH))
+    return d.select("doc_id", "s", "q", i).select((F.col("doc_id") * 1000 + F.col("i")).alias("read_id"), cut("s").alias("bases"), cut("q").alias("quals"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows 2j and 2j + 1 of a document as mates."""
+    r = reads(spark, sf_dir)
+    left = r.where("read_id % 2 = 0").select(F.col("read_id").alias("pair_id"), F.struct("bases", "quals").alias("left"))
+    right = r.where("read_id % 2 = 1").select((F.col("read_id") - 1).alias("pair_id"), F.struct("bases", "quals").alias("right"))
+    return left.join(right, "pair_id")
+
+
+def flat_pairs(spark, sf_dir):
+    return pairs(spark, sf_dir).select("pair_id", F.col("left.bases").alias("left_bases"), F.col("left.quals").alias("left_quals"), F.col("right.bases").alias("right_bases"), F.col("right.quals").alias("right_quals"))
+
+
+def counts(spark, sf_dir, least=MIN, n_as_a=False):
+    return spectrum.count_kmers(reads(spark, sf_dir), K, least, n_as_a)
+
+
+def trusted(spark, sf_dir):
+    return solid.solid_kmers(counts(spark, sf_dir), SOLID)
+
+
+def solid_positions(spark, sf_dir):
+    return solid.solid_windows(reads(spark, sf_dir), trusted(spark, sf_dir), K)
+
+
+def isles(spark, sf_dir):
+    return regions.islands(solid_positions(spark, sf_dir))
+
+
+def mutations(spark, sf_dir):
+    s = trusted(spark, sf_dir)
+    return votes.mutations(solid.weak_windows(reads(spark, sf_dir), s, K), s, K)
+
+
+def ballots(spark, sf_dir):
+    return votes.votes(mutations(spark, sf_dir))
+
+
+def covered_positions(spark, sf_dir):
+    each = isles(spark, sf_dir).select("read_id", F.explode(F.sequence("l", F.col("r") + K - 1)).alias("pos"))
+    return each.distinct()
+
+
+def distinct_kmers(spark, sf_dir):
+    return spectrum.windows(reads(spark, sf_dir), K).select("kmer").distinct()
+
+
+def corrections(spark, sf_dir, parity: int) -> DataFrame:
+    """Two sets of corrections to combine: winning votes in reads or positions of some kind."""
+    w = votes.winners(ballots(spark, sf_dir))
+    return w.where("pos % 3 <> 0") if parity == 0 else w.where("pos % 2 = 0").select("read_id", "pos", F.when(F.col("pos") % 4 == 0, F.lit("A")).otherwise(F.col("b")).alias("b"))
+
+
+def histogram(spark, sf_dir):
+    return spectrum.kmer_histogram(counts(spark, sf_dir))
+
+
+def cutoffs(spark, sf_dir):
+    return thresholds.kmer_cutoffs(histogram(spark, sf_dir).withColumn("hid", F.lit(1)))
+
+
+READS = f"""d AS (SELECT doc_id, translate(t, '{LETTERS}', '{BASES}') AS s, translate(t, '{LETTERS}', '{QUALS}') AS q
+  FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS t FROM documents) WHERE length(t) >= {WIDTH}),
+reads AS (SELECT doc_id * 1000 + i AS read_id, substr(s, i * {WIDTH} + 1, {WIDTH}) AS bases, substr(q, i * {WIDTH} + 1, {WIDTH}) AS quals
+  FROM (SELECT doc_id, s, q, unnest(range(0, least(length(s) // {WIDTH}, {PER_DOC - 1}) + 1)) AS i FROM d))"""
+PAIRS = """pairs AS (SELECT a.read_id AS pair_id, a.bases AS left_bases, a.quals AS left_quals, b.bases AS right_bases, b.quals AS right_quals
+  FROM reads a JOIN reads b ON b.read_id = a.read_id + 1 WHERE a.read_id % 2 = 0)"""
+
+
+def windows_sql(source: str = "reads", name: str = "win", n_as_a: bool = False) -> str:
+    bases = "replace(bases, 'N', 'A')" if n_as_a else "bases"
+    strict = "" if n_as_a else " WHERE instr(kmer, 'N') = 0"
+    return f"""{name} AS (SELECT read_id, pos, kmer, least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA')) AS canon
+  FROM (SELECT read_id, i AS pos, substr(bases, i + 1, {K}) AS kmer FROM (SELECT read_id, {bases} AS bases, unnest(range(0, greatest(length(bases) - {K} + 1, 0))) AS i FROM {source})){strict})"""
+
+
+COUNTS = f"cnts AS (SELECT canon AS kmer, count(*)::BIGINT AS cnt FROM win GROUP BY 1 HAVING count(*) >= {MIN})"
+SOLIDS = f"solid AS (SELECT kmer, least(cnt, 255)::INTEGER AS m FROM cnts WHERE cnt >= {SOLID})"
+BASE = f"WITH {READS},\n{windows_sql()},\n{COUNTS},\n{SOLIDS}"
+ALL = f"{BASE},\n{windows_sql(name='wina', n_as_a=True)}"
+SOLID_WIN = "sw AS (SELECT read_id, pos FROM wina WHERE canon IN (SELECT kmer FROM solid))"
+ISLES = """isles AS (SELECT read_id, min(pos)::BIGINT AS l, max(pos)::BIGINT AS r
+  FROM (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS g FROM sw) GROUP BY read_id, g)"""
+REGIONS = f"{ALL},\n{SOLID_WIN},\n{ISLES}"
+MUTATIONS = f"""weak AS (SELECT read_id, pos, kmer FROM wina WHERE canon NOT IN (SELECT kmer FROM solid)),
+cand AS (SELECT read_id, pos, o, substr(kmer, o + 1, 1) AS own, b, substr(kmer, 1, o) || b || substr(kmer, o + 2) AS alt
+  FROM weak, (SELECT unnest(range(0, {K})) AS o), (SELECT unnest(['A', 'C', 'G', 'T']) AS b) WHERE substr(kmer, o + 1, 1) <> b),
+mut AS (SELECT read_id, pos, o::INTEGER AS o, b, m FROM cand JOIN solid ON least(alt, translate(reverse(alt), 'ACGT', 'TGCA')) = solid.kmer),
+votes AS (SELECT read_id, (pos + o)::BIGINT AS pos, b, count(*)::BIGINT AS votes FROM mut GROUP BY 1, 2, 3),
+winners AS (SELECT read_id, pos, min(b) AS b FROM (SELECT *, max(votes) OVER (PARTITION BY read_id) AS top FROM votes) WHERE votes = top AND top >= {votes.MIN_VOTES} GROUP BY 1, 2 HAVING count(*) = 1)"""
+VOTES = f"{ALL},\n{MUTATIONS}"
+CORRECTIONS = f"""{VOTES},
+ca AS (SELECT * FROM winners WHERE pos % 3 <> 0),
+cb AS (SELECT read_id, pos, CASE WHEN pos % 4 = 0 THEN 'A' ELSE b END AS b FROM winners WHERE pos % 2 = 0)"""
+HIST = f"""{BASE},
+h AS (SELECT 1 AS hid, bin::INTEGER AS bin, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(0, 256)) AS bin)
+  LEFT JOIN (SELECT least(cnt, 255) AS bin, count(*) AS n FROM cnts GROUP BY 1) USING (bin))"""
+CUTOFFS = f"""{HIST},
+g AS (SELECT hid, bin, n, lag(n) OVER (PARTITION BY hid ORDER BY bin) AS pn FROM h WHERE bin >= 2),
+l AS (SELECT hid, coalesce(max(CASE WHEN bin >= 3 AND n <> 0 THEN bin END), 2) AS last FROM g GROUP BY hid),
+r AS (SELECT g.hid, l.last, coalesce(min(CASE WHEN bin >= 3 AND bin < l.last AND n > pn THEN bin END), greatest(max(l.last), 3)) AS v FROM g JOIN l ON g.hid = l.hid GROUP BY g.hid, l.last),
+pk AS (SELECT hid, bin AS p FROM (SELECT g.hid, g.bin, row_number() OVER (PARTITION BY g.hid ORDER BY g.n DESC, g.bin) AS rn
+  FROM g JOIN r ON g.hid = r.hid WHERE g.bin = r.v OR (g.bin > r.v AND g.bin < r.last)) WHERE rn = 1),
+c AS (SELECT g.hid, g.bin, row_number() OVER (PARTITION BY g.hid ORDER BY g.n, g.bin) AS rn
+  FROM g JOIN r ON g.hid = r.hid JOIN pk ON g.hid = pk.hid WHERE g.bin = r.v OR (g.bin > r.v AND g.bin < pk.p AND g.n >= {thresholds.PLATEAU})),
+f AS (SELECT hid, min(CASE WHEN bin BETWEEN 3 AND 254 AND n > pn THEN bin END) - 1 AS c2, coalesce(min(CASE WHEN bin >= 3 AND n > pn THEN bin END) - 1, 2) AS c3 FROM g GROUP BY hid)"""
+QS = f"""WITH {READS},
+qs AS (SELECT bin::INTEGER AS bin, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(0, 127)) AS bin)
+  LEFT JOIN (SELECT ascii(c) AS bin, count(*) AS n FROM (SELECT unnest(string_split(quals, '')) AS c FROM reads) WHERE c <> '' GROUP BY 1) USING (bin))"""
+QPOS = f"""WITH {READS},
+qp AS (SELECT read_id, i::BIGINT AS pos, ascii(substr(quals, i + 1, 1))::INTEGER - 33 AS q FROM (SELECT read_id, quals, unnest(range(0, length(quals))) AS i FROM reads))"""
+KMERS = f"WITH {READS},\n{windows_sql()},\nks AS (SELECT DISTINCT kmer FROM win)"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query(f"WITH {READS} SELECT * FROM reads")
+def reads_scan(spark, sf_dir):
+    return reads(spark, sf_dir)
+
+
+@query(f"WITH {READS}, {PAIRS} SELECT * FROM pairs")
+def reads_paired(spark, sf_dir):
+    return flat_pairs(spark, sf_dir)
+
+
+@query(f"WITH {READS}, {PAIRS} SELECT pair_id AS read_id, left_bases AS bases, left_quals AS quals FROM pairs UNION ALL SELECT pair_id, right_bases, right_quals FROM pairs")
+def mate_union(spark, sf_dir):
+    return spectrum.mates(pairs(spark, sf_dir))
+
+
+@query(f"WITH {READS}, {PAIRS} SELECT pair_id, left_bases AS bases, left_quals AS quals FROM pairs")
+def mate_left(spark, sf_dir):
+    return pairs(spark, sf_dir).select("pair_id", "left.bases", "left.quals")
+
+
+@query(f"WITH {READS}, {PAIRS} SELECT pair_id, right_bases AS bases, right_quals AS quals FROM pairs")
+def mate_right(spark, sf_dir):
+    return pairs(spark, sf_dir).select("pair_id", "right.bases", "right.quals")
+
+
+@query(f"WITH {READS} SELECT read_id, '@r' || read_id || chr(10) || bases || chr(10) || '+' || chr(10) || quals AS record FROM reads")
+def fastq_format(spark, sf_dir):
+    r = reads(spark, sf_dir)
+    return r.select("read_id", fk.fastq_text(F.concat(F.lit("@r"), "read_id"), "bases", "quals").alias("record"))
+
+
+@query(f"WITH {READS} SELECT read_id, length(bases)::BIGINT AS n, (length(bases) - length(replace(bases, 'N', '')))::BIGINT AS ns, (length(bases) - length(replace(replace(bases, 'G', ''), 'C', '')))::BIGINT AS gc FROM reads")
+def read_stats(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_id", F.length("bases").cast("bigint").alias("n"), fk.count_ns("bases").alias("ns"), fk.gc("bases").alias("gc"))
+
+
+@query(f"WITH {READS} SELECT read_id, replace(bases, 'N', 'A') AS bases FROM reads WHERE length(bases) - length(replace(bases, 'N', '')) <= floor(length(bases) * 0.1)")
+def n_filter_strict(spark, sf_dir):
+    return reads(spark, sf_dir).where(fk.count_ns("bases") <= F.floor(F.length("bases") * F.lit(0.1))).select("read_id", fk.replace_ns("bases").alias("bases"))
+
+
+@query(f"WITH {READS} SELECT read_id, replace(bases, 'N', 'A') AS bases FROM reads WHERE length(bases) - length(replace(bases, 'N', '')) < length(bases) * 0.3")
+def n_filter_ratio(spark, sf_dir):
+    return reads(spark, sf_dir).where(fk.count_ns("bases") < F.length("bases") * F.lit(0.3)).select("read_id", fk.replace_ns("bases").alias("bases"))
+
+
+@query(f"{KMERS} SELECT kmer, translate(reverse(kmer), 'ACGT', 'TGCA') AS rc, translate(kmer, 'ACGT', 'TGCA') AS comp, reverse(kmer) AS rev FROM ks")
+def revcomp(spark, sf_dir):
+    return distinct_kmers(spark, sf_dir).select("kmer", fk.revcomp("kmer").alias("rc"), fk.complement("kmer").alias("comp"), F.reverse("kmer").alias("rev"))
+
+
+@query(f"{KMERS} SELECT kmer, least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA')) AS canon FROM ks")
+def canonical(spark, sf_dir):
+    return distinct_kmers(spark, sf_dir).select("kmer", fk.canonical("kmer").alias("canon"))
+
+
+@query(f"{KMERS} SELECT kmer, b, substr(kmer, 2) || b AS rolled FROM ks, (SELECT unnest(['A', 'C', 'G', 'T']) AS b)")
+def roll_right(spark, sf_dir):
+    k = distinct_kmers(spark, sf_dir).withColumn("b", F.explode(F.array(*map(F.lit, "ACGT"))))
+    return k.select("kmer", "b", fk.roll_right("kmer", F.col("b")).alias("rolled"))
+
+
+@query(f"{KMERS} SELECT kmer, b, b || substr(kmer, 1, {K - 1}) AS rolled FROM ks, (SELECT unnest(['A', 'C', 'G', 'T']) AS b)")
+def roll_left(spark, sf_dir):
+    k = distinct_kmers(spark, sf_dir).withColumn("b", F.explode(F.array(*map(F.lit, "ACGT"))))
+    return k.select("kmer", "b", fk.roll_left("kmer", F.col("b")).alias("rolled"))
+
+
+@query(f"{KMERS} SELECT kmer, list_sum(list_transform(range(0, {K}), lambda i: (instr('ACGT', substr(kmer, i + 1, 1)) - 1) * (1::BIGINT << (2 * ({K} - 1 - i)))))::BIGINT AS packed FROM ks")
+def encode_packed(spark, sf_dir):
+    return distinct_kmers(spark, sf_dir).select("kmer", fk.pack("kmer").alias("packed"))
+
+
+@query(f"{KMERS} SELECT kmer, kmer AS decoded, substr(kmer, 1, 5) AS head FROM ks")
+def decode_packed(spark, sf_dir):
+    k = distinct_kmers(spark, sf_dir)
+    return k.select("kmer", fk.unpack(fk.pack("kmer"), K).alias("decoded"), F.substr(fk.unpack_left(fk.pack_left("kmer"), K), F.lit(1), F.lit(5)).alias("head"))
+
+
+@query(f"WITH {READS}, {windows_sql()} SELECT read_id, count(*)::BIGINT AS n, min(canon) AS lo, max(canon) AS hi, sum(pos)::BIGINT AS places FROM win GROUP BY 1")
+def kmer_windows_strict(spark, sf_dir):
+    w = spectrum.windows(reads(spark, sf_dir), K)
+    return w.groupBy("read_id").agg(F.count("*").alias("n"), F.min("canon").alias("lo"), F.max("canon").alias("hi"), F.sum("pos").alias("places"))
+
+
+@query(f"WITH {READS}, {windows_sql(n_as_a=True)} SELECT read_id, count(*)::BIGINT AS n, min(canon) AS lo, max(canon) AS hi, sum(pos)::BIGINT AS places FROM win GROUP BY 1")
+def kmer_windows_n_as_a(spark, sf_dir):
+    w = spectrum.windows(reads(spark, sf_dir), K, True)
+    return w.groupBy("read_id").agg(F.count("*").alias("n"), F.min("canon").alias("lo"), F.max("canon").alias("hi"), F.sum("pos").alias("places"))
+
+
+@query(f"WITH {READS}, {windows_sql()} SELECT canon AS kmer, count(*)::BIGINT AS cnt FROM win GROUP BY 1")
+def kmer_count(spark, sf_dir):
+    return counts(spark, sf_dir, 1)
+
+
+@query(f"{BASE} SELECT * FROM cnts")
+def kmer_count_min(spark, sf_dir):
+    return counts(spark, sf_dir)
+
+
+@query(f"WITH {READS}, {windows_sql(n_as_a=True)} SELECT canon AS kmer, count(*)::BIGINT AS cnt FROM win GROUP BY 1 HAVING count(*) >= {MIN}")
+def kmer_count_n_as_a(spark, sf_dir):
+    return counts(spark, sf_dir, n_as_a=True)
+
+
+@query(f"{BASE} SELECT kmer, least(cnt, 5)::BIGINT AS cnt FROM cnts")
+def kmer_count_saturated(spark, sf_dir):
+    return spectrum.saturated(counts(spark, sf_dir), 5)
+
+
+@query(f"WITH {READS}, {PAIRS}, mates AS (SELECT pair_id AS read_id, left_bases AS bases FROM pairs UNION ALL SELECT pair_id, right_bases FROM pairs), {windows_sql('mates')}, {COUNTS} SELECT * FROM cnts")
+def kmer_count_paired(spark, sf_dir):
+    return spectrum.count_kmers(spectrum.mates(pairs(spark, sf_dir)), K, MIN)
+
+
+@query(f"{HIST} SELECT bin, n FROM h")
+def kmer_histogram_dense(spark, sf_dir):
+    return histogram(spark, sf_dir)
+
+
+@query(f"{QS} SELECT * FROM qs")
+def qs_histogram_dense(spark, sf_dir):
+    return spectrum.qs_histogram(reads(spark, sf_dir))
+
+
+@query(QS.replace("qs AS (", f"{PAIRS}, qs AS (").replace("AS c FROM reads)", "AS c FROM (SELECT left_quals AS quals FROM pairs UNION ALL SELECT right_quals FROM pairs))") + " SELECT * FROM qs")
+def qs_histogram_paired(spark, sf_dir):
+    return spectrum.qs_histogram(spectrum.mates(pairs(spark, sf_dir)))
+
+
+@query(f"{HIST} SELECT sum(n)::BIGINT AS counted, coalesce(sum(CASE WHEN bin >= {SOLID} THEN n END), 0)::BIGINT AS solid FROM h")
+def kmer_totals(spark, sf_dir):
+    return spectrum.totals(histogram(spark, sf_dir), SOLID)
+
+
+@query(f"{CUTOFFS} SELECT bin::INTEGER AS cutoff FROM c WHERE rn = 1")
+def cutoff_conservative(spark, sf_dir):
+    return cutoffs(spark, sf_dir).select(F.col("conservative").alias("cutoff"))
+
+
+@query(f"{CUTOFFS} SELECT least(c2, 255)::INTEGER AS cutoff FROM f")
+def cutoff_consensus(spark, sf_dir):
+    return cutoffs(spark, sf_dir).select(F.col("consensus").alias("cutoff"))
+
+
+@query(f"{CUTOFFS} SELECT least(c3, 255)::INTEGER AS cutoff FROM f")
+def cutoff_scored(spark, sf_dir):
+    return cutoffs(spark, sf_dir).select(F.col("scored").alias("cutoff"))
+
+
+QCUT = f"""{QS},
+s AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) / sum(n) OVER () AS share FROM qs),
+a AS (SELECT min(bin) FILTER (n > 0) AS lo, max(bin) FILTER (n > 0) AS hi, min(bin) FILTER (share >= 0.05) AS c, min(bin) FILTER (share >= 0.01) AS x FROM s),
+o AS (SELECT *, (CASE WHEN lo >= 33 AND lo <= 74 AND hi <= 74 THEN 33 WHEN lo > 58 THEN 64 END)::INTEGER AS qs_offset FROM a)"""
+
+
+@query(f"{QCUT} SELECT qs_offset FROM o")
+def qs_offset(spark, sf_dir):
+    return thresholds.quality_cutoff_table(spectrum.qs_histogram(reads(spark, sf_dir))).select("qs_offset")
+
+
+@query(f"{QCUT} SELECT qs_offset, (c - qs_offset)::INTEGER AS cutoff, (x - qs_offset)::INTEGER AS extreme_cutoff FROM o")
+def qs_cutoffs(spark, sf_dir):
+    return thresholds.quality_cutoff_table(spectrum.qs_histogram(reads(spark, sf_dir)))
+
+
+@query(f"{QPOS} SELECT coalesce((SELECT CASE WHEN q + 33 > 99 THEN 64 ELSE 33 END FROM qp WHERE q + 33 > 99 OR q + 33 < 38 ORDER BY read_id, pos LIMIT 1), 33)::INTEGER AS qs_offset")
+def qs_offset_by_scan(spark, sf_dir):
+    return thresholds.scanned_offset(reads(spark, sf_dir))
+
+
+@query(f"{BASE} SELECT * FROM solid")
+def solid_kmers(spark, sf_dir):
+    return trusted(spark, sf_dir)
+
+
+@query(
+    f"""{BASE} SELECT (CASE WHEN instr('GT', substr(kmer, 1, 1)) > 0 THEN p - (1::HUGEINT << 64) ELSE p END)::VARCHAR || ',' || m AS value
+FROM (SELECT kmer, m, list_sum(list_transform(range(0, {K}), lambda i: (instr('ACGT', substr(kmer, i + 1, 1)) - 1)::HUGEINT * (1::HUGEINT << (62 - 2 * i)))) AS p FROM solid)"""
+)
+def solid_csv(spark, sf_dir):
+    return solid.csv_lines(trusted(spark, sf_dir))
+
+
+@query(f"{BASE} SELECT * FROM solid WHERE m >= 6")
+def solid_refilter(spark, sf_dir):
+    return solid.refiltered(trusted(spark, sf_dir), 6)
+
+
+@query(f"{ALL} SELECT read_id, count(*)::BIGINT AS n, sum(coalesce(m, 0))::BIGINT AS total, max(coalesce(m, 0))::INTEGER AS most FROM wina LEFT JOIN solid ON canon = solid.kmer GROUP BY 1")
+def kmer_multiplicity(spark, sf_dir):
+    m = solid.multiplicity(reads(spark, sf_dir), trusted(spark, sf_dir), K)
+    return m.groupBy("read_id").agg(F.count("*").alias("n"), F.sum("m").cast("bigint").alias("total"), F.max("m").alias("most"))
+
+
+@query(f"{ALL} SELECT read_id, count(*)::BIGINT AS n, sum(pos)::BIGINT AS places FROM wina WHERE canon NOT IN (SELECT kmer FROM solid) GROUP BY 1")
+def weak_kmers(spark, sf_dir):
+    w = solid.weak_windows(reads(spark, sf_dir), trusted(spark, sf_dir), K)
+    return w.groupBy("read_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+
+
+@query(f"{ALL}, {SOLID_WIN} SELECT read_id, pos FROM sw")
+def solid_window_positions(spark, sf_dir):
+    return solid_positions(spark, sf_dir).select("read_id", "pos")
+
+
+@query(f"{REGIONS} SELECT read_id, sum(least(r + {K - 1}, coalesce(nl - 1, r + {K - 1})) - l + 1)::BIGINT AS covered FROM (SELECT *, lead(l) OVER (PARTITION BY read_id ORDER BY l) AS nl FROM isles) GROUP BY 1")
+def coverage_bitmap(spark, sf_dir):
+    return regions.coverage(isles(spark, sf_dir), K)
+
+
+@query(f"{REGIONS}, cov AS (SELECT read_id, count(DISTINCT p) AS covered FROM (SELECT read_id, unnest(range(l, r + {K})) AS p FROM isles) GROUP BY 1) SELECT read_id FROM cov JOIN reads USING (read_id) WHERE covered = length(bases)")
+def error_free_reads(spark, sf_dir):
+    return regions.error_free(reads(spark, sf_dir), regions.coverage(isles(spark, sf_dir), K))
+
+
+@query(f"{REGIONS} SELECT * FROM isles")
+def solid_islands(spark, sf_dir):
+    return isles(spark, sf_dir)
+
+
+LONGEST = f"{REGIONS}, best AS (SELECT read_id, l, r FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY r - l DESC, l) AS rn FROM isles) WHERE rn = 1)"
+
+
+@query(f"{LONGEST} SELECT * FROM best")
+def longest_island(spark, sf_dir):
+    return regions.longest(isles(spark, sf_dir))
+
+
+@query(f"{LONGEST} SELECT read_id, l AS first, r + {K - 1} AS last FROM best JOIN reads USING (read_id) WHERE l > 0 AND length(bases) - (r + {K - 1} - l + 1) <= 40")
+def trim_interval(spark, sf_dir):
+    return regions.trim_interval(reads(spark, sf_dir), isles(spark, sf_dir), K, 40)
+
+
+@query(f"{REGIONS} SELECT read_id, l, l - p - 1 AS gap FROM (SELECT *, lag(r) OVER (PARTITION BY read_id ORDER BY l) AS p FROM isles) WHERE p IS NOT NULL")
+def gap_lengths(spark, sf_dir):
+    return regions.gaps(isles(spark, sf_dir))
+
+
+@query(f"{VOTES} SELECT read_id, pos, o, b, m FROM mut")
+def mutation_candidates(spark, sf_dir):
+    return mutations(spark, sf_dir)
+
+
+@query(f"{VOTES} SELECT * FROM votes")
+def vote_counts(spark, sf_dir):
+    return ballots(spark, sf_dir)
+
+
+@query(f"{VOTES} SELECT read_id, max(votes)::BIGINT AS votes FROM votes GROUP BY 1")
+def max_votes(spark, sf_dir):
+    return votes.max_votes(ballots(spark, sf_dir))
+
+
+@query(f"{VOTES} SELECT * FROM winners")
+def vote_winners(spark, sf_dir):
+    return votes.winners(ballots(spark, sf_dir))
+
+
+@query(
+    f"""{VOTES},
+px AS (SELECT read_id, bases, unnest(range(0, length(bases))) AS p FROM reads WHERE read_id IN (SELECT read_id FROM winners))
+SELECT px.read_id, string_agg(coalesce(w.b, substr(bases, p + 1, 1)), '' ORDER BY p) AS bases FROM px LEFT JOIN winners w ON w.read_id = px.read_id AND w.pos = p GROUP BY 1"""
+)
+def vote_corrected_reads(spark, sf_dir):
+    return votes.corrected(reads(spark, sf_dir), votes.winners(ballots(spark, sf_dir)))
+
+
+@query(
+    f"""{VOTES},
+{SOLID_WIN},
+cov AS (SELECT DISTINCT read_id, pos + i AS p FROM sw, (SELECT unnest(range(0, {K})) AS i)),
+open AS (SELECT read_id, p, least(p, n - {K}) AS s, greatest(p - {K - 1}, 0) AS e FROM (SELECT read_id, length(bases) AS n, unnest(range(0, length(bases))) AS p FROM reads WHERE length(bases) >= {2 * K - 1}) x
+  WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.read_id = x.read_id AND cov.p = x.p)),
+both_ends AS (SELECT open.read_id, open.p, a.b FROM open JOIN mut a ON a.read_id = open.read_id AND a.pos = open.s AND a.pos + a.o = open.p
+  JOIN mut z ON z.read_id = open.read_id AND z.pos = open.e AND z.pos + z.o = open.p AND z.b = a.b),
+single AS (SELECT read_id, p, min(b) AS b FROM both_ends GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT read_id, p::BIGINT AS pos, b FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY p) AS rn FROM single) WHERE rn = 1"""
+)
+def single_unique_fix(spark, sf_dir):
+    return votes.unique_fixes(reads(spark, sf_dir), covered_positions(spark, sf_dir), mutations(spark, sf_dir), K)
+
+
+@query(f"{QPOS} SELECT * FROM qp WHERE q < {LOW}")
+def low_quality_positions(spark, sf_dir):
+    return setops.low_quality_positions(reads(spark, sf_dir), LOW)
+
+
+@query(f"{QPOS} SELECT read_id, pos, q, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY q, pos) AS rank FROM qp) WHERE rank <= 3")
+def lowest_quality_topk(spark, sf_dir):
+    return setops.lowest_quality(reads(spark, sf_dir), 3)
+
+
+@query(f"{QPOS} SELECT read_id, round(sum(pow(10.0, -q / 10.0)), 6) AS expected_errors FROM qp GROUP BY 1")
+def error_probability(spark, sf_dir):
+    p = setops.qualities(reads(spark, sf_dir))
+    return p.groupBy("read_id").agg(F.round(F.sum(F.pow(F.lit(10.0), -F.col("q") / 10.0)), 6).alias("expected_errors"))
+
+
+@query(f"{VOTES} SELECT read_id, o, b, m FROM mut WHERE pos = 0")
+def first_kmer_substitutions(spark, sf_dir):
+    s = trusted(spark, sf_dir)
+    weak = solid.weak_windows(reads(spark, sf_dir), s, K).where("pos = 0")
+    return votes.mutations(weak, s, K).select("read_id", "o", "b", "m")
+
+
+@query(f"{CORRECTIONS} SELECT * FROM ca INTERSECT SELECT * FROM cb")
+def corr_intersection(spark, sf_dir):
+    return setops.intersection(corrections(spark, sf_dir, 0), corrections(spark, sf_dir, 1))
+
+
+@query(f"{CORRECTIONS} SELECT read_id, pos, coalesce(ca.b, cb.b) AS b FROM ca FULL JOIN cb USING (read_id, pos)")
+def corr_union(spark, sf_dir):
+    return setops.union(corrections(spark, sf_dir, 0), corrections(spark, sf_dir, 1))
+
+
+@query(f"{CORRECTIONS} SELECT * FROM ca WHERE NOT EXISTS (SELECT 1 FROM cb WHERE cb.read_id = ca.read_id AND cb.pos = ca.pos)")
+def corr_difference(spark, sf_dir):
+    return setops.difference(corrections(spark, sf_dir, 0), corrections(spark, sf_dir, 1))
