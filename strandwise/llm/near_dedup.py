@@ -17,7 +17,7 @@ from .shingles import MinHash, mixed, overlap, shingle_set, unpacked
 KEYED, CHUNKS, PERCENT = 64, 8, 85
 #: All slots. Candidates that differ in more than FAR aren't looked at in full; at 85 % likeness 38 slots differ, and more than FAR for three pairs in a hundred thousand.
 SLOTS, FAR = 256, 62
-TILE, ROUNDS = 512, 3
+TILE, ROUNDS = 512, 1
 
 
 def signatures(docs: DataFrame, slots: int = SLOTS, keyed: int = KEYED) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,17 +57,38 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) edges -> (node, component) by union-find over all batches of a task."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = top(root.setdefault(u, u)), top(root.setdefault(v, v))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
+def components(edges: DataFrame, few: int = 100_000, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b) of longs.
 
-    Alternating large-star and small-star rounds; each joins every node's neighbours to the node's
-    smallest neighbour, so that no node's neighbours are ever gathered in one place. A round's
-    result is staged. Returns (node, component) for every node that has an edge; component is the
-    smallest node reachable. Rows where a = b or one is null count as no edge.
+    Alternating large-star and small-star rounds join every node's neighbours to the node's smallest
+    neighbour, so that no node's neighbours are ever gathered in one place. A round's result is
+    staged. As soon as no more than `few` edges are left, one task of that bounded size finishes them.
+    Returns (node, component) for every node that has an edge; component is the smallest node
+    reachable. Rows where a = b or one is null count as no edge.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    current, sign, old = stage(pairs, "edges"), None, None
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
+    current, sign = stage(pairs, "edges"), None
     for _ in range(max_rounds):
+        if current.count() <= few:
+            return stage(current.coalesce(1).mapInArrow(joined, "node long, component long"), "components")
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -82,4 +105,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components: no fixed point")
     stars = current.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    return stage(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
