@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,54 +33,60 @@ class Encoder:
 
     The tokenizer splits at white space first, so a run of other characters always has the same ids.
     In texts of plain characters (ASCII, Latin-1 letters: those that the normaliser only lower-cases)
-    the ids of runs and of the pieces in them are remembered; other texts go through the library whole.
+    the pieces of a run go to the library's model directly, and the ids of pieces and runs are
+    remembered; other texts go through the library whole.
     """
 
     PLAIN = re.compile(r"[\n\r\t -~À-ÖØ-öø-ÿ]*")
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+    #: Byte-level vocabularies write a byte as the Latin-1 character, or, where that isn't printable, one from 256 on.
+    SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
         self.runs: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, p: str) -> bytes:
+        shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.SHOWN)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def learn(self, runs: list[str]) -> None:
-        """Remember the runs' ids. New pieces go through the library in one text; each one's last id ends a word."""
-        split = [self.PIECE.findall(r) for r in runs]
-        new = list({p for ps in split for p in ps if p not in self.pieces})
-        if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == len(new):
-                flat, cuts = ids.tobytes(), [0, *(at * 4).tolist()]
-                self.pieces.update((p, flat[cuts[i] : cuts[i + 1]]) for i, p in enumerate(new))
-            else:
-                self.pieces.update((p, self.whole(p)) for p in new)
-        for r, ps in zip(runs, split):
-            self.runs[r] = b"".join([self.pieces[p] for p in ps])
+        """Remember the runs' ids."""
+        split = list(map(self.PIECE.findall, runs))
+        new = set().union(*split).difference(self.pieces)
+        self.pieces.update((p, self.piece(p)) for p in new)
+        known = self.pieces.__getitem__
+        self.runs.update(zip(runs, [b"".join(map(known, ps)) for ps in split]))
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.runs) > self.most or len(self.pieces) > self.most:
-            self.runs.clear()
-            self.pieces.clear()
+        for known in (self.runs, self.pieces):
+            if len(known) > self.most:
+                known.clear()
         plain = [x is not None and "<|" not in x and self.PLAIN.fullmatch(x) is not None for x in texts]
         runs = [x.lower().split() if p else () for x, p in zip(texts, plain)]
-        known = self.runs
-        new = list({r for rs in runs for r in rs if r not in known})
-        if new:
-            self.learn(new)
-        return [b"".join([known[r] for r in rs]) if p else self.whole(x or "") for x, p, rs in zip(texts, plain, runs)]
+        if new := set().union(*runs).difference(self.runs):
+            self.learn(list(new))
+        ids = self.runs.__getitem__
+        return [b"".join(map(ids, rs)) if p else self.whole(x or "") for x, p, rs in zip(texts, plain, runs)]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """The process's encoder; Python workers serve many tasks and keep what they have learned."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, length: int = SEQUENCE, path: str | None = None, keep_ids: bool = False, end: int = 0) -> DataFrame:
@@ -92,12 +101,12 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, path: str | None = None, kee
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own = encoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 place, piece, start, size, crc, ids = [], [], [], [], [], []
-                for i, data in enumerate(encoder.batch(batch.column(len(others)).to_pylist())):
+                for i, data in enumerate(own.batch(batch.column(len(others)).to_pylist())):
                     data += tail
                     for p, s in enumerate(range(0, len(data), 4 * length)):
                         part = data[s : s + 4 * length]
@@ -107,9 +116,9 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, path: str | None = None, kee
                         size.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
                         ids.append(part if keep_ids else None)
-                own = [batch.column(c).take(pa.array(place, pa.int32())) for c in range(len(others))]
+                kept = [batch.column(c).take(pa.array(place, pa.int32())) for c in range(len(others))]
                 more = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())] + [pa.array(ids, pa.binary())] * keep_ids
-                yield pa.RecordBatch.from_arrays(own + more, [*others, "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
+                yield pa.RecordBatch.from_arrays(kept + more, [*others, "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
     schema = f"{fields}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     return docs.select(*others, "text").mapInArrow(run, schema)
