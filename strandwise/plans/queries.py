@@ -6,11 +6,17 @@ and to quality characters; the last window of a document may be shorter than a k
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.config import Settings
 from strandwise.functions import kmers as fk
-from strandwise.operators import regions, setops, solid, spectrum, thresholds, votes
+from strandwise.operators import correction, regions, setops, solid, spectrum, thresholds, votes
+from strandwise.sources import fastq
+from strandwise.streaming import counts as streaming
 
 K, MIN, SOLID, WIDTH, PER_DOC = 13, 2, 3, 60, 6
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -473,3 +479,56 @@ def corr_union(spark, sf_dir):
 @query(f"{CORRECTIONS} SELECT * FROM ca WHERE NOT EXISTS (SELECT 1 FROM cb WHERE cb.read_id = ca.read_id AND cb.pos = ca.pos)")
 def corr_difference(spark, sf_dir):
     return setops.difference(corrections(spark, sf_dir, 0), corrections(spark, sf_dir, 1))
+
+
+@query(f"WITH {READS} SELECT read_id, row_number() OVER (ORDER BY read_id)::BIGINT AS place, bases FROM reads")
+def ordered_output(spark, sf_dir):
+    """Reads in order with their place, by range partitions: one count per partition is all that is gathered."""
+    r = reads(spark, sf_dir).repartitionByRange("read_id").sortWithinPartitions("read_id")
+    return fastq.ordinals(r).select("read_id", (F.col("ordinal") + 1).alias("place"), "bases")
+
+
+def named_reads(spark, sf_dir):
+    r = reads(spark, sf_dir).where(F.length("bases") > 0)
+    return r.select("read_id", F.concat(F.lit("@r"), "read_id").alias("name"), "bases", "quals")
+
+
+@query(f"WITH {READS} SELECT '@r' || read_id AS name, bases, quals FROM reads WHERE length(bases) > 0")
+def fastq_roundtrip(spark, sf_dir):
+    """Written as FASTQ parts in order and read again by byte ranges."""
+    folder = f"{scratch(spark)}/fastq"
+    fastq.write(named_reads(spark, sf_dir), folder)
+    return fastq.read(spark, folder).select("name", "bases", "quals")
+
+
+@query(f"{BASE} SELECT * FROM cnts")
+def stream_kmer_count(spark, sf_dir):
+    """Counts over a stream of read files, drained."""
+    folder = scratch(spark)
+    reads(spark, sf_dir).repartition(4).write.parquet(f"{folder}/reads")
+    stream = streaming.read_stream(spark, f"{folder}/reads", files_per_trigger=2)
+    return streaming.drain(streaming.count_stream(stream, K, MIN), f"kmers_{folder.rsplit('-', 1)[-1]}", f"{folder}/state")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, or (local masters) a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/strandwise-{uuid.uuid4().hex}"
+
+
+def corrected_by(algorithm: str, low: int = 3):
+    def run(spark, sf_dir):
+        r = reads(spark, sf_dir)
+        cut = {"consensus": (2, 1)}.get(algorithm, (0, 0))
+        own = correction.solid_set(solid.solid_kmers(counts(spark, sf_dir, MIN, algorithm == "conservative"), low), K)
+        kernel = correction.corrector(algorithm, own, low, Settings(algorithms=(algorithm,), k=K), 33, cut)
+        return correction.correct(r, kernel).select("read_id", "bases", "n_corrections", "status")
+
+    run.__name__ = f"correct_{algorithm}"
+    return run
+
+
+for _name in ("conservative", "consensus", "scored"):
+    query(None)(corrected_by(_name))
