@@ -32,7 +32,7 @@ def kmer_cutoffs(h: DataFrame, most: int = 255) -> DataFrame:
     t1 = g.join(peak, "hid").where(valley).groupBy("hid").agg(F.min_by("bin", F.struct("n", "bin")).alias("conservative"))
     up = F.col("n") > F.col("pn")
     t23 = g.groupBy("hid").agg((F.min(F.when(F.col("bin").between(3, 254) & up, F.col("bin"))) - 1).alias("consensus"), F.coalesce(F.min(F.when((F.col("bin") >= 3) & up, F.col("bin"))) - 1, F.lit(2)).alias("scored"))
-    return t1.join(t23, "hid").select("hid", "conservative", F.least("consensus", F.lit(most)).alias("consensus"), F.least("scored", F.lit(most)).alias("scored"))
+    return t1.join(t23, "hid").select("hid", "conservative", F.when(F.col("consensus").isNotNull(), F.least("consensus", F.lit(most))).alias("consensus"), F.least("scored", F.lit(most)).alias("scored"))
 
 
 def conservative_cutoff(h: list[int]) -> int:

@@ -300,7 +300,7 @@ def cutoff_conservative(spark, sf_dir):
     return cutoffs(spark, sf_dir).select(F.col("conservative").alias("cutoff"))
 
 
-@query(f"{CUTOFFS} SELECT least(c2, 255)::INTEGER AS cutoff FROM f")
+@query(f"{CUTOFFS} SELECT (CASE WHEN c2 IS NOT NULL THEN least(c2, 255) END)::INTEGER AS cutoff FROM f")
 def cutoff_consensus(spark, sf_dir):
     return cutoffs(spark, sf_dir).select(F.col("consensus").alias("cutoff"))
 
