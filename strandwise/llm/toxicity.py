@@ -114,27 +114,57 @@ class Tagger:
         return float(sigmoid(self.calibration @ np.array([1.0, a, b])))
 
 
-def token_labels(docs: list[np.ndarray], y: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Words that mark toxic documents, from document labels: (their buckets, their log odds).
-
-    A word counts as toxic if at least `least` toxic sample documents hold it and it is e^3 times as
-    frequent, by documents, as in the others. Tokens of toxic documents with such a word are labelled 1.
+def without_copies(docs: list[np.ndarray], bands: int = 6, rows: int = 2) -> list[int]:
+    """Indices of the first of each group of near copies, by banded minima of the sets of words: copies of one text are one witness."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(1, 2**32, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    root = list(range(len(docs)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    first: dict[tuple, int] = {}
+    for i, d in enumerate(docs):
+        if not len(d):
+            continue
+        least = ((np.unique(d).astype(np.uint64) + np.uint64(1)) * a[:, None] >> np.uint64(8)).min(1).reshape(bands, rows)
+        for band, key in enumerate(map(tuple, least.tolist())):
+            x, y = sorted((top(first.setdefault((band, *key), i)), top(i)))
+            root[y] = x
+    return [i for i in range(len(docs)) if root[i] == i]
+
+
+def token_labels(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets of the words that mark toxic documents, found from document labels.
+
+    A word counts if the share of toxic documents that hold it is at least e^2 times that of the
+    others, and its log likelihood ratio is beyond what the most extreme of so many words would show
+    by chance. Tokens of toxic documents with such a word are labelled 1.
     """
-    toxic = np.zeros(BUCKETS, np.int32)
-    clean = np.zeros(BUCKETS, np.int32)
+    toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for d, label in zip(docs, y):
         (toxic if label else clean)[np.unique(d)] += 1
-    odds = np.log((toxic + 0.1) / (y.sum() + 1)) - np.log((clean + 0.1) / ((1 - y).sum() + 1))
-    hit = np.flatnonzero((toxic >= least) & (odds >= 3))
-    return hit, odds[hit]
+    words = np.flatnonzero(toxic + clean)
+    a, b, n, m = toxic[words], clean[words], y.sum(), (1 - y).sum()
+    share = (a + b) / (n + m)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(a > 0, a * np.log(a / (n * share)), 0) + np.where(b > 0, b * np.log(b / (m * share)), 0))
+        odds = np.log((a + 0.1) / (n + 1)) - np.log((b + 0.1) / (m + 1))
+    return words[(odds >= 2) & (ratio >= 2 * np.log(max(2, len(words))) + 4)]
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, rounds: int = 30, rate: float = 0.5, batch: int = 512) -> Tagger:
     """Maximise the conditional likelihood of the token labels, then fit the document step on the document labels."""
     if not len(docs) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        share = (y.sum() + 0.5) / (len(y) + 1)  # nothing to tell apart: every document gets the labels' share
         return Tagger([], [], -4.0, np.zeros((2, 2)), [np.log(share / (1 - share)), 0, 0])
-    marks, _ = token_labels(docs, y)
+    alone = without_copies(docs)
+    docs, y = [docs[i] for i in alone], y[alone]
+    if y.min() == y.max():
+        return fit([], y)
+    marks = token_labels(docs, y)
     table = np.zeros(BUCKETS, bool)
     table[marks] = True
     tags = [(table[d] & bool(label)).astype(float) for d, label in zip(docs, y)]
