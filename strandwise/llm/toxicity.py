@@ -93,10 +93,10 @@ def marginals(scores: list[np.ndarray], t: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def summary(p: np.ndarray) -> tuple[float, float]:
-    """A document's marginals in two numbers: the log odds of its most toxic word, the log of the expected number of toxic words."""
+def summary(p: np.ndarray) -> tuple[float, float, float]:
+    """A document's marginals in three numbers: the log odds of its most toxic word, the logs of the expected number of toxic words and of all."""
     top = float(np.clip(p.max(initial=1e-6), 1e-6, 1 - 1e-6))
-    return float(np.log(top / (1 - top))), float(np.log(p.sum() + 1e-3))
+    return float(np.log(top / (1 - top))), float(np.log(p.sum() + 1e-3)), float(np.log(len(p) + 10.0))
 
 
 class Tagger:
@@ -110,30 +110,31 @@ class Tagger:
         return self.weights.get(bucket(word), 0.0) + self.bias
 
     def document_score(self, p: np.ndarray) -> float:
-        a, b = summary(p)
-        return float(sigmoid(self.calibration @ np.array([1.0, a, b])))
+        return float(sigmoid(self.calibration @ np.array([1.0, *summary(p)])))
 
 
-def without_copies(docs: list[np.ndarray], bands: int = 6, rows: int = 2) -> list[int]:
-    """Indices of the first of each group of near copies, by banded minima of the sets of words: copies of one text are one witness."""
+def without_copies(docs: list[np.ndarray], bands: int = 8, rows: int = 3, least: float = 0.6) -> list[int]:
+    """Indices of the documents that aren't near copies (by their sets of words) of an earlier one: copies are one witness.
+
+    Banded minima of the sets give candidates, the sets themselves decide.
+    """
     rng = np.random.default_rng(3)
     a = rng.integers(1, 2**32, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    root = list(range(len(docs)))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
     first: dict[tuple, int] = {}
+    sets, out = {}, []
     for i, d in enumerate(docs):
-        if not len(d):
+        own = np.unique(d)
+        if not len(own):
             continue
-        least = ((np.unique(d).astype(np.uint64) + np.uint64(1)) * a[:, None] >> np.uint64(8)).min(1).reshape(bands, rows)
-        for band, key in enumerate(map(tuple, least.tolist())):
-            x, y = sorted((top(first.setdefault((band, *key), i)), top(i)))
-            root[y] = x
-    return [i for i in range(len(docs)) if root[i] == i]
+        minima = ((own.astype(np.uint64) + np.uint64(1)) * a[:, None] >> np.uint64(8)).min(1).reshape(bands, rows)
+        keys = [(band, *key) for band, key in enumerate(minima.tolist())]
+        met = {first[k] for k in keys if k in first}
+        if not any(2 * least * (len(own) + len(sets[j])) / (1 + least) <= 2 * len(np.intersect1d(own, sets[j], assume_unique=True)) for j in met):
+            out.append(i)
+            sets[i] = own
+            for k in keys:
+                first.setdefault(k, i)
+    return out
 
 
 def token_labels(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -155,11 +156,11 @@ def token_labels(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return words[(odds >= 2) & (ratio >= 2 * np.log(max(2, len(words))) + 4)]
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, rounds: int = 30, rate: float = 0.5, batch: int = 512) -> Tagger:
+def fit(docs: list[np.ndarray], y: np.ndarray, rounds: int = 30, rate: float = 0.5, most: int = 512) -> Tagger:
     """Maximise the conditional likelihood of the token labels, then fit the document step on the document labels."""
     if not len(docs) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)  # nothing to tell apart: every document gets the labels' share
-        return Tagger([], [], -4.0, np.zeros((2, 2)), [np.log(share / (1 - share)), 0, 0])
+        return Tagger([], [], -4.0, np.zeros((2, 2)), [np.log(share / (1 - share)), 0, 0, 0])
     alone = without_copies(docs)
     docs, y = [docs[i] for i in alone], y[alone]
     if y.min() == y.max():
@@ -173,7 +174,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rounds: int = 30, rate: float = 0
     index = [inverse[a:b] for a, b in zip(starts, starts[1:])]
     w, bias, t = np.zeros(len(seen)), -3.0, np.zeros((2, 2))
     power, p_bias, p_t = np.full(len(seen), 1e-2), 1e-2, np.full((2, 2), 1e-2)
-    rng = np.random.default_rng(7)
+    rng, batch = np.random.default_rng(7), min(most, max(16, len(docs) // 12))
     for _ in range(rounds):
         deal = rng.permutation(len(docs))
         for at in range(0, len(docs), batch):
@@ -209,16 +210,16 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rounds: int = 30, rate: float = 0
             p_t += g * g
             t -= 0.1 * rate * g / np.sqrt(p_t)
     kept = np.abs(w) > 0.05
-    tagger = Tagger(seen[kept], w[kept], bias, t, np.zeros(3))
+    tagger = Tagger(seen[kept], w[kept], bias, t, np.zeros(4))
     x = np.array([(1.0, *summary(p)) for p in marginals([np.where(kept[i], w[i], 0) + bias for i in index], t)])
     mean, spread = x[:, 1:].mean(0), x[:, 1:].std(0) + 1e-6
     z = np.concatenate([x[:, :1], (x[:, 1:] - mean) / spread], 1)
-    c = np.zeros(3)
+    c = np.zeros(4)
     share = y.mean()
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     for _ in range(50):
         p = sigmoid(z @ c)
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z / len(y) + 1e-3 * np.eye(3)
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z / len(y) + 1e-3 * np.eye(4)
         c -= np.linalg.solve(h, z.T @ (weight * (p - y)) / len(y) + 1e-3 * c)
     tagger.calibration = np.array([c[0] - (c[1:] * mean / spread).sum(), *(c[1:] / spread)])
     return tagger

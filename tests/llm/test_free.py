@@ -313,7 +313,7 @@ def auc(score, y):
 
 def labelled_texts(n=900):
     rng = random.Random(7)
-    vocabulary, bad = [f"word{i}" for i in range(800)], ["nasty", "vile", "foul", "rotten"]
+    vocabulary, bad = ["".join(rng.choice(["ba", "ku", "re", "to", "mi"]) for _ in range(5)) for _ in range(800)], ["nasty", "vile", "foul", "rotten"]
     rows, labels = [], []
     for i in range(n):
         w = [rng.choice(vocabulary) for _ in range(rng.randrange(5, 120))]
