@@ -8,7 +8,6 @@ and qualities, or by a score of multiplicities and error probabilities.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import product
 
 import numpy as np
 
@@ -277,25 +276,23 @@ class PathCorrector:
         return fails <= self.allowed_fails()
 
     def substitutions(self, codes) -> list[dict[int, int]]:
-        """Single changes, with their multiplicity checked, that make the first window solid."""
-        kmer, out = [int(x) for x in codes[: self.k]], []
-        for p in range(self.k):
-            own = kmer[p]
-            for b in range(4):
-                kmer[p] = b
-                if b != own and self.solid.of(kmer):
-                    out.append({p: b})
-            kmer[p] = own
-        return out
+        """Single changes that make the first window solid, by position and base."""
+        good = self.solid.mutants(codes[: self.k])[0] > 0
+        return [{int(p): int(b)} for p, b in np.argwhere(good)]
 
     def combinations(self, codes, positions: list[int]) -> list[dict[int, int]]:
-        """All assignments of the positions that make the first window solid."""
-        kmer, out = [int(x) for x in codes[: self.k]], []
-        for bases in product(range(4), repeat=len(positions)):
-            for p, b in zip(positions, bases):
-                kmer[p] = b
-            if self.solid.of(kmer):
-                out.append({p: b for p, b in zip(positions, bases) if b != codes[p]})
+        """All assignments of the positions that make the first window solid, the last position varying fastest."""
+        f, r = (np.uint64(x) for x in self.kmer(codes, 0))
+        fs, rs = np.array([f]), np.array([r])
+        for p in positions:
+            own, up, down = np.uint64(codes[p]), np.uint64(2 * (self.k - 1 - p)), np.uint64(2 * p)
+            base = np.arange(4, dtype=np.uint64)
+            fs = (fs[:, None] + ((base << up) - (own << up))[None, :]).ravel()
+            rs = (rs[:, None] + ((own << down) - (base << down))[None, :]).ravel()
+        out = []
+        for i in np.flatnonzero(self.solid.of_many(fs, rs)).tolist():
+            bases = [i >> 2 * (len(positions) - 1 - j) & 3 for j in range(len(positions))]
+            out.append({p: b for p, b in zip(positions, bases) if b != codes[p]})
         return out
 
     def without_region(self, codes, q, trim: Trim):
