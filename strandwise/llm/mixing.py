@@ -84,8 +84,9 @@ def mix(places: DataFrame, targets: DataFrame, block: int = BLOCK, shards: int =
     s = targets.where("source_size > 0").withColumns({"n": n, "whole": whole})
     extra = F.least("n", F.round((F.col("target") - F.col("whole") * F.col("source_size")) / block).cast("long"))
     s = s.withColumn("slots", F.col("whole") * F.col("n") + extra).where("slots > 0").select("skey", "n", "slots")
-    span = 4096
-    s = s.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {span})"))).repartition("skey", "_chunk")
+    span = 1024
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = s.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (slots - 1) div {span})"))).repartition(parts, "skey", "_chunk")
     s = s.withColumn("slot", F.explode(F.expr(f"sequence(_chunk * {span}, least(slots, (_chunk + 1) * {span}) - 1)")))
     s = s.withColumn("_key", F.xxhash64(F.lit(seed), "skey", F.expr("slot div n")))
     slots = s.select(
@@ -95,7 +96,8 @@ def mix(places: DataFrame, targets: DataFrame, block: int = BLOCK, shards: int =
     left = F.greatest(F.col("block") * block, "start")
     right = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
     pieces = inside.select("skey", "block", "doc_id", "start", "size", "hash", (left - F.col("start")).alias("from_word"), (right - left).alias("n_words"))
-    return slots.join(pieces, ["skey", "block"]).select("shard", "skey", "slot", "block", "doc_id", "start", "size", "hash", "from_word", "n_words")
+    # the chunks look small to the planner, but the slots made from them grow with the corpus: never broadcast
+    return slots.hint("merge").join(pieces, ["skey", "block"]).select("shard", "skey", "slot", "block", "doc_id", "start", "size", "hash", "from_word", "n_words")
 
 
 def mixed_documents(docs: DataFrame, block: int = 2048, seed: int = SEED) -> DataFrame:
