@@ -17,7 +17,7 @@ from strandwise.llm.shared import stage, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are more likely above the lowest grade than not; taught by the labels of documents still here."""
     model = quality.trained(docs, table(spark, sf_dir, "labels"))
-    return quality.accepted(quality.grade(docs, model)).select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

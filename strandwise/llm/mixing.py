@@ -109,12 +109,12 @@ def mixed_documents(docs: DataFrame, block: int = 2048, seed: int = SEED) -> Dat
     columns = docs.columns
     places = placed(docs)
     drawn = mix(places, source_targets(places), block, SHARDS, seed)
-    keys = {"_skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_hash": F.xxhash64("text"), "_size": word_count(F.col("text"))}
+    keys = {"_mix_skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "_mix_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_mix_hash": F.xxhash64("text"), "_mix_size": word_count(F.col("text"))}
     own = docs.withColumns(keys).dropDuplicates(list(keys))  # equal rows have each its own places in the mix
-    place = drawn.select(F.col("skey").alias("_skey"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("hash").alias("_hash"), F.col("size").alias("_size"), F.col("from_word").alias("_from"), F.col("n_words").alias("_n"))
+    place = drawn.select(F.col("skey").alias("_mix_skey"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_mix_id"), F.col("hash").alias("_mix_hash"), F.col("size").alias("_mix_size"), F.col("from_word").alias("_mix_from"), F.col("n_words").alias("_mix_n"))
     taken = own.join(place, list(keys))
     words = F.array_remove(F.split("text", GAP), "")
-    piece = F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(F.concat_ws(" ", F.slice(words, (F.col("_from") + 1).cast("int"), F.col("_n").cast("int"))))
+    piece = F.when(F.col("_mix_n") == F.col("_mix_size"), F.col("text")).otherwise(F.concat_ws(" ", F.slice(words, (F.col("_mix_from") + 1).cast("int"), F.col("_mix_n").cast("int"))))
     return taken.withColumn("text", piece).withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
 
 

@@ -92,11 +92,11 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, length: int = SEQUENCE, path: str | None = None, keep_ids: bool = False, end: int = 0) -> DataFrame:
     """Every document's ids and the id `end`, cut into pieces of at most `length`.
 
-    Returns the other columns of docs, then piece, start, length, ids_crc32 and, with keep_ids, ids
+    Returns the other columns of docs (but those that have one of these names), then piece, start, length, ids_crc32 and, with keep_ids, ids
     (little-endian unsigned 32-bit). Null text is empty: one piece, of the id `end` alone.
     """
     path = path or vocabulary_path()
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")]
     tail = np.array([end], "<u4").tobytes()
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
 

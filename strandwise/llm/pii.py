@@ -131,8 +131,8 @@ SPANS = "array<struct<kind:int,start:long,end:long,pattern:int>>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """The columns of docs but text, then found: all candidate spans of the whole text with their patterns."""
-    others = [c for c in docs.columns if c != "text"]
+    """The columns of docs but text, found and spans, then found: all candidate spans of the whole text with their patterns."""
+    others = [c for c in docs.columns if c not in ("text", "found", "spans")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.int32())]))
 

@@ -126,36 +126,58 @@ def trained(docs: DataFrame, labels: DataFrame, column: str = "quality", most: i
     return fit(vectors, np.array([r["y"] for r in rows]))
 
 
+class Scorer:
+    """Scores of texts under a model; remembers words."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.words = Lookup(lambda w: float(model.w[list(word_buckets(w))].sum()))
+        self.figures = Lookup(lambda b: float(model.w[b]))
+
+    def tails(self, texts: pa.Array) -> np.ndarray:
+        score = np.empty(len(texts))
+        for i, x in enumerate(texts):
+            data = (x.as_py() or "").encode("utf-8", "replace")
+            words = data.split()
+            score[i] = sum(map(self.words.__getitem__, words)) / max(1, len(words)) + sum(map(self.figures.__getitem__, text_buckets(data, words)))
+        return self.model.tails(score)
+
+
 def grade(docs: DataFrame, model: Model) -> DataFrame:
     """docs plus expected_grade and tails (for each grade but the lowest, the probability of it or better).
 
-    Null text counts as empty: no words, only the figures of an empty text.
+    These replace columns of the same names. Null text counts as empty: no words, only the figures of
+    an empty text.
     """
+    docs = docs.drop("expected_grade", "tails")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        known = Lookup(lambda w: float(m.w[list(word_buckets(w))].sum()))
-        kept = Lookup(lambda b: float(m.w[b]))
-        steps = np.diff(m.grades)
+        scorer = Scorer(shared.value)
+        grades = scorer.model.grades
+        steps = np.diff(grades)
         for batch in batches:
-            score = np.empty(batch.num_rows)
-            for i, x in enumerate(batch.column(at)):
-                data = (x.as_py() or "").encode("utf-8", "replace")
-                words = data.split()
-                score[i] = sum(map(known.__getitem__, words)) / max(1, len(words)) + sum(map(kept.__getitem__, text_buckets(data, words)))
-            tails = m.tails(score)
-            expected = m.grades[0] + tails @ steps if len(steps) else np.full(len(score), float(m.grades[0]))
+            tails = scorer.tails(batch.column(at))
+            expected = grades[0] + tails @ steps if len(steps) else np.full(len(tails), float(grades[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(list(tails), pa.list_(pa.float64()))], [*batch.schema.names, "expected_grade", "tails"])
 
     return docs.mapInArrow(run, f"{fields}, expected_grade double, tails array<double>")
 
 
-def accepted(graded: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows whose probability of more than the lowest grade is `least` or more (all, if there is but one grade)."""
-    return graded.where((F.size("tails") == 0) | (F.get("tails", F.lit(0)) >= least))
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, columns unchanged, whose probability of more than the lowest grade is `least` or more (all, if the model knows but one grade)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            tails = scorer.tails(batch.column(at))
+            yield batch.filter(pa.array(tails[:, 0] >= least)) if tails.shape[1] else batch
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

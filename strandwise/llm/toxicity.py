@@ -242,9 +242,9 @@ def tag(docs: DataFrame, tagger: Tagger, threshold: float = 0.5, together: int =
     """The columns of docs but text, then score and spans (start, end, p): words with a marginal of `threshold` or more.
 
     Offsets are code points of the whole text. A null or empty text has no words: no span and the
-    score of a document without toxic words.
+    score of a document without toxic words. score and spans replace columns of these names.
     """
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("text", "score", "spans")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
     shared = docs.sparkSession.sparkContext.broadcast(tagger)

@@ -97,3 +97,20 @@ def test_mixing_gives_short_documents_whole(spark):
     d = spark.createDataFrame([(i, f"a{i}  b\tc", "en", "s", len(f"a{i}  b\tc")) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
     out = mixing.mixed_documents(d, block=1000).collect()
     assert sorted(tuple(r) for r in out) == sorted(tuple(r) for r in d.collect())
+
+
+def test_operators_with_clashing_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    own = ["spans", "found", "score", "tails", "expected_grade", "piece", "length", "ids", "offset", "sequence_id", "_key", "rule", "component_id", "_mix_id"]
+    odd = docs.withColumns({c: F.lit("clash") for c in own})
+    model = quality.trained(odd, spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int"))
+    n = docs.count()
+    assert quality.grade(odd, model).count() == n and quality.accepted(odd, model).columns == odd.columns
+    assert pii.detect(odd).count() == n and pii.redact(odd).columns == odd.columns
+    assert mixing.mixed_documents(odd).columns == odd.columns
+    assert packing.packed(corpus_pipeline.stage(packing.pieces(odd), "pieces")).count() >= n
+    assert corpus_pipeline.near_dedup.deduplicated(odd).columns == odd.columns
+    from strandwise.llm import toxicity
+
+    assert toxicity.tag(odd, toxicity.fit([], __import__("numpy").zeros(0))).count() == n
