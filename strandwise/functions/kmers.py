@@ -56,10 +56,12 @@ def pack(kmer: Column | str) -> Column:
     return F.conv(digits, 4, 10).cast("bigint")
 
 
-def pack_left(kmer: Column | str) -> Column:
-    """Left-aligned 2-bit packing in a signed BIGINT, base i at bit 62 - 2i, for k up to 32."""
-    digits = F.translate(F.rpad(normal(kmer, n_as_a=True), 32, "A"), "ACGT", "0123")
-    return _signed(F.conv(digits, 4, 10).cast("decimal(20,0)"))
+def pack_left(kmer: Column | str, clean: bool = False) -> Column:
+    """Left-aligned 2-bit packing in a signed BIGINT, base i at bit 62 - 2i, for k up to 32; clean: there are but A, C, G and T."""
+    k = F.length(col(kmer))
+    digits = F.translate(col(kmer) if clean else normal(kmer, n_as_a=True), "ACGT", "0123")
+    value = F.conv(digits, 4, 10)
+    return F.when(k < 32, F.call_function("shiftleft", value.cast("bigint"), 64 - 2 * k)).otherwise(_signed(value.cast("decimal(20,0)")))
 
 
 def _signed(unsigned: Column) -> Column:
