@@ -16,4 +16,4 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_license_scan": license_scan.op10_license_scan,
 }
-SQL = {"op9_url_filter": url_filter.SQL}
+SQL = {"op7_embedding_dedup": embedding_dedup.SQL, "op8_near_dedup": near_dedup.SQL, "op9_url_filter": url_filter.SQL}
