@@ -2,6 +2,9 @@
 
 There is no table of reads, so reads are windows of 60 letters of documents, letters mapped to bases
 and to quality characters; the last window of a document may be shorter than a k-mer or empty.
+
+A query that has SQL reads what its SQL does: of documents of 60 letters or more, the first six
+windows. Its sibling NAME_whole, and every query without SQL, reads all windows of all texts.
 """
 
 from __future__ import annotations
@@ -23,22 +26,34 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTNA"
 QUALS = "#$%&()*+,-./0123456789:;<="
 LOW, FIRST_K = 12, 13
+#: read_id is doc_id * WINDOWS + window; even, and more than the windows of the longest string there can be.
+WINDOWS = 1 << 26
+
+
+class FirstWindows(str):
+    """A folder whose documents are read as READS does, for the queries that have SQL."""
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = isinstance(sf_dir, FirstWindows)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("t"))
-    d = docs.where(F.length("t") >= WIDTH).select("doc_id", F.translate("t", LETTERS, BASES).alias("s"), F.translate("t", LETTERS, QUALS).alias("q"))
-    i = F.explode(F.expr(f"sequence(0L, least(cast(length(s) as bigint) div {WIDTH}, {PER_DOC - 1}L))")).alias("i")
+    d = docs.where(F.length("t") >= WIDTH) if first else docs
+    d = d.select("doc_id", F.translate("t", LETTERS, BASES).alias("s"), F.translate("t", LETTERS, QUALS).alias("q"))
+    last = f"cast(length(s) as bigint) div {WIDTH}"
+    i = F.explode(F.expr(f"sequence(0L, least({last}, {PER_DOC - 1}L))" if first else f"sequence(0L, {last})")).alias("i")
     cut = lambda c: F.substr(c, (F.col("i") * WIDTH + 1).cast("int"), F.lit(WIDTH))
-    return d.select("doc_id", "s", "q", i).select((F.col("doc_id") * 1000 + F.col("i")).alias("read_id"), cut("s").alias("bases"), cut("q").alias("quals"))
+    return d.select("doc_id", "s", "q", i).select((F.col("doc_id") * (1000 if first else WINDOWS) + F.col("i")).alias("read_id"), cut("s").alias("bases"), cut("q").alias("quals"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows 2j and 2j + 1 of a document as mates."""
+    """Windows 2j and 2j + 1 of a document as mates; over whole texts, a last window without a mate has an empty one."""
     r = reads(spark, sf_dir)
     left = r.where("read_id % 2 = 0").select(F.col("read_id").alias("pair_id"), F.struct("bases", "quals").alias("left"))
     right = r.where("read_id % 2 = 1").select((F.col("read_id") - 1).alias("pair_id"), F.struct("bases", "quals").alias("right"))
-    return left.join(right, "pair_id")
+    if isinstance(sf_dir, FirstWindows):
+        return left.join(right, "pair_id")
+    none = F.struct(F.lit("").alias("bases"), F.lit("").alias("quals"))
+    return left.join(right, "pair_id", "left").withColumn("right", F.coalesce("right", none))
 
 
 def flat_pairs(spark, sf_dir):
@@ -151,9 +166,11 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None):
     def register(f):
-        QUERIES[f.__name__] = f
+        name = f.__name__
+        QUERIES[name] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[name] = sql
+            QUERIES[name], QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(spark, FirstWindows(sf_dir)), f
         return f
 
     return register
