@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,26 @@ KEYED, CHUNKS, PERCENT = 64, 8, 85
 #: All slots. Candidates that differ in more than FAR aren't looked at in full; at 85 % likeness 38 slots differ, and more than FAR for three pairs in a hundred thousand.
 SLOTS, FAR = 256, 62
 TILE, ROUNDS = 512, 1
+#: What a pair at exactly the wanted likeness may be missed by: no shared key, or more than `far` slots that differ. And the most keys a text may have.
+UNKEYED, PRUNED, KEYS = 2e-4, 4e-5, 72
+
+
+def layout(percent: int) -> tuple[int, int, int]:
+    """(keyed, chunks, far) for a likeness of percent: by the binomial, few pairs of that likeness are missed.
+
+    The widest chunks (they meet the fewest strangers) that need at most KEYS slots in all.
+    """
+    same = percent / 100
+    for each in range(KEYS, 0, -1):
+        miss = 1 - same**each - each * (1 - same) * same ** (each - 1)
+        chunks = 1 if miss <= UNKEYED else math.ceil(math.log(UNKEYED) / math.log(miss)) if miss < 1 else KEYS + 1
+        if each * chunks <= KEYS:
+            break
+    tail, far = 1.0, -1
+    while tail > PRUNED and far < SLOTS:
+        far += 1
+        tail -= math.comb(SLOTS, far) * (1 - same) ** far * same ** (SLOTS - far)
+    return each * chunks, chunks, far
 
 
 def signatures(docs: DataFrame, slots: int = SLOTS, keyed: int = KEYED) -> DataFrame:
@@ -160,8 +181,8 @@ def open_links(members: DataFrame, classes: DataFrame, texts: DataFrame, tile: i
     return tiles.join(texts, "doc_id").groupBy("key", "i", "j").applyInArrow(confirm, "a long, b long")
 
 
-def near_groups(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, digest, component_id for every row of docs (doc_id, text).
+def near_groups(docs: DataFrame, rounds: int = ROUNDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, digest, component_id for every row of docs (doc_id, text); links are of percent likeness or more.
 
     Texts with equal sets of shingles are one class, represented by its smallest doc_id, however many
     copies there are. Class signatures meet on chunk keys. In some rounds every member of a key is
@@ -171,11 +192,12 @@ def near_groups(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Null and empty texts and null ids link with nothing; rows that share a doc_id are one node.
     """
     docs = docs.select("doc_id", "text")
-    sigs = stage(signatures(docs), "signatures")
+    keyed, chunks, far = layout(percent)
+    sigs = stage(signatures(docs, keyed=keyed), "signatures")
     classes = sigs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     classes = stage(classes, "classes")
 
-    keys = chunk_keys(classes)
+    keys = chunk_keys(classes, keyed, chunks)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stage(keys.join(shared, "key"), "members")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("data"))
@@ -187,8 +209,8 @@ def near_groups(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         pivot = F.min_by("doc_id", F.xxhash64(F.lit(n), "doc_id")).alias("b")
         pivots = held.groupBy("key").agg(pivot, F.min_by("component", F.xxhash64(F.lit(n), "doc_id")).alias("of"))
         pairs = held.join(pivots, "key").where("component <> of").select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-        pairs = stage(within(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), classes), "pairs")
-        links = confirmed(pairs, texts)
+        pairs = stage(within(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), classes, far, keyed), "pairs")
+        links = confirmed(pairs, texts, percent)
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = links if groups is None else links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
         groups = components(edges)
@@ -196,15 +218,15 @@ def near_groups(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         several = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         held = stage(held.join(several, "key", "left_semi"), "open")
 
-    final = components(open_links(held, classes, texts).unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    final = components(open_links(held, classes, texts, far=far, keyed=keyed, chunks=chunks, percent=percent).unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     final = final.withColumnRenamed("node", "_rep").withColumnRenamed("component", "_least")
     by_class = classes.select("digest", F.col("doc_id").alias("_rep")).join(final, "_rep", "left").select("digest", F.coalesce("_least", "_rep").alias("_group"))
     return sigs.drop("sig").join(by_class, "digest", "left").select("doc_id", "n_shingles", "digest", F.coalesce("_group", "doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose doc_id is their group's smallest, one each; rows with a null doc_id all stay."""
-    groups = near_groups(docs)
+    groups = near_groups(docs, percent=percent)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
