@@ -47,6 +47,8 @@ class PathCorrector:
     """What both correctors share; correct(bases, quals) -> (bases, quals, status)."""
 
     shave_ends_always = False
+    #: Whether paths found before a walk met too many still count; how many bases a branch may try towards an end.
+    partial, tried_limit = False, None
 
     def __init__(self, solid: SolidSet, config, offset: int, low: int, extreme: int):
         self.solid, self.k, self.config = solid, solid.k, config
@@ -148,39 +150,50 @@ class PathCorrector:
         """All paths of solid windows from the one after `before` to `end`.
 
         At the first window all four bases are tried; then all four where `free` says so, else the
-        read's own base if that is solid and the other three if not. TooMany beyond `most` paths.
+        read's own base if that is solid and the other three if not. Beyond `most` paths the walk ends:
+        with those found so far where `partial` says so, else by TooMany. A branch that has tried more
+        than `tried_limit` bases goes no further. Windows found to lead nowhere aren't entered again.
         """
         k, out = self.k, []
+        limit = None if bounded else self.tried_limit
         w = before + step
         p = w + k - 1 if step > 0 else w
         start = self.kmer(codes, before)
-        stack = []
+        stack, dead, cuts = [], set(), 0
         for base in (3, 2, 1, 0):
             nxt = self.rolled(start, base, step)
             if m := self.m(nxt):
-                stack.append((w, nxt, Path().grown(p, None if base == codes[p] else base, m, 1.0)))
-        tries = 0
+                stack.append((w, nxt, Path().grown(p, None if base == codes[p] else base, m, 1.0), 0))
         while stack:
-            w, kmer, path = stack.pop()
+            w, kmer, path, tried = stack.pop()
+            if path is None:
+                if tried == (len(out), cuts):
+                    dead.add((w, kmer))
+                continue
             if w == end:
                 out.append(path)
-                if most is not None and len(out) > most:
+                if most is not None and len(out) > most and not self.partial:
                     raise TooMany
                 continue
-            tries += 1
-            if most is not None and tries > most * 400:
-                raise TooMany
+            if (w, kmer) in dead or (most is not None and len(out) > most):
+                continue
+            stack.append((w, kmer, None, (len(out), cuts)))
             w += step
             p = w + k - 1 if step > 0 else w
             own = int(codes[p])
-            options = [(own, self.rolled(kmer, own, step))]
-            m_own = self.m(options[0][1])
-            if self.free(q, p, w, boundary, bounded) or not m_own:
-                options += [(b, self.rolled(kmer, b, step)) for b in range(4) if b != own]
-            options.sort(reverse=True)
-            for b, nxt in options:
+            m_own = self.m(self.rolled(kmer, own, step))
+            several = self.free(q, p, w, boundary, bounded) or not m_own
+            further = []
+            for b in range(4) if several else (own,):
+                nxt = self.rolled(kmer, b, step)
                 if m := self.m(nxt):
-                    stack.append((w, nxt, path.grown(p, None if b == own else b, m, 1.0)))
+                    if several and w != end:
+                        tried += 1
+                        if limit is not None and tried > limit:
+                            cuts += 1
+                            break
+                    further.append((w, nxt, path.grown(p, None if b == own else b, m, 1.0), tried))
+            stack += reversed(further)
         return out
 
     def free(self, q, p: int, w: int, boundary: int | None, bounded: bool) -> bool:
@@ -404,6 +417,7 @@ class ScoredCorrector(PathCorrector):
     def __init__(self, solid: SolidSet, config: Scored | None = None, offset: int = 33):
         config = config or Scored()
         super().__init__(solid, config, offset, config.qs_cutoff, config.qs_cutoff)
+        self.partial, self.tried_limit = True, config.max_changes
 
     def too_many_unknown(self, unknown: int, n: int) -> bool:
         return unknown >= n * self.config.max_n_ratio
