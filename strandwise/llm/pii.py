@@ -25,7 +25,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 EMAIL_WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?(?:\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]{1,63}+\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z]{2,24}")
 PHONE_LOCAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
-SECRET = re.compile(r"(?<=[=:])\s{0,3}[\"']?([A-Za-z0-9+/_-]{16,512}+)(?![A-Za-z0-9+/_.=-]{2})")
+#: A body of any length: parts joined by dots, one of 16 characters or more, and padding. What is left of "=" in name=value is none.
+SECRET = re.compile(r"(?<=[=:])\s{0,3}[\"']?(?=[A-Za-z0-9+/_.-]*?[A-Za-z0-9+/_-]{16})([A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+(?:=++(?![A-Za-z0-9+/_-]))?+)(?!=)")
 
 ENDINGS = frozenset("com org net edu gov io de fr es uk eu info biz co us ch at nl it".split())
 CUES = {
