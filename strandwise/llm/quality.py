@@ -20,6 +20,9 @@ CAPITAL, SMALL, DIGIT, MARK = (bytes(x) for x in (range(65, 91), range(97, 123),
 SHAPE = bytes.maketrans(CAPITAL + SMALL + DIGIT, b"A" * 26 + b"a" * 26 + b"0" * 10)
 RUN = re.compile(rb"(.)\1+", re.S)
 HIGH = re.compile(rb"[\x80-\xff]+")
+#: Words of more than LONG bytes count as pieces of up to 24 bytes, cut between characters.
+LONG = 64
+PIECE = re.compile(rb".{1,21}[\x80-\xbf]{0,3}", re.S)
 
 
 def bucket(name: bytes) -> int:
@@ -30,7 +33,14 @@ def word_buckets(word: bytes) -> tuple[int, ...]:
     """The word in small letters, its shape (Aa0 runs and marks), and its marks alone."""
     small = word.lower()
     shape = RUN.sub(rb"\1", HIGH.sub(b"a", word.translate(SHAPE)))
-    return bucket(b"w" + small[:64]), bucket(b"s" + shape[:32]), bucket(b"m" + RUN.sub(rb"\1", HIGH.sub(b"", word.translate(None, CAPITAL + SMALL + DIGIT)))[:16])
+    return bucket(b"w" + small), bucket(b"s" + shape), bucket(b"m" + RUN.sub(rb"\1", HIGH.sub(b"", word.translate(None, CAPITAL + SMALL + DIGIT))))
+
+
+def pieces(words: list[bytes]) -> list[bytes]:
+    """The words, those of more than LONG bytes as pieces that all count."""
+    if not words or len(max(words, key=len)) <= LONG:
+        return words
+    return [p for w in words for p in (PIECE.findall(w) if len(w) > LONG else (w,))]
 
 
 def text_buckets(data: bytes, words: list[bytes]) -> list[int]:
@@ -103,12 +113,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 3
 
 
 def vector(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A document as (buckets, values): the share of its words with each word bucket, and 1 for each figure."""
+    """A document as (buckets, values): the share of its words (or their pieces) with each word bucket, and 1 for each figure."""
     words = data.split()
-    own = np.array([b for w in words for b in word_buckets(w)], np.int64)
+    parts = pieces(words)
+    own = np.array([b for w in parts for b in word_buckets(w)], np.int64)
     ids, n = np.unique(own, return_counts=True)
     figures = np.array(text_buckets(data, words), np.int64)
-    return np.concatenate([ids, figures]), np.concatenate([n / max(1, len(words)), np.ones(len(figures))])
+    return np.concatenate([ids, figures]), np.concatenate([n / max(1, len(parts)), np.ones(len(figures))])
 
 
 def trained(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> Model:
@@ -139,7 +150,8 @@ class Scorer:
         for i, x in enumerate(texts):
             data = (x.as_py() or "").encode("utf-8", "replace")
             words = data.split()
-            score[i] = sum(map(self.words.__getitem__, words)) / max(1, len(words)) + sum(map(self.figures.__getitem__, text_buckets(data, words)))
+            parts = pieces(words)
+            score[i] = sum(map(self.words.__getitem__, parts)) / max(1, len(parts)) + sum(map(self.figures.__getitem__, text_buckets(data, words)))
         return self.model.tails(score)
 
 
