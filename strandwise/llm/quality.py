@@ -132,7 +132,7 @@ def trained(docs: DataFrame, labels: DataFrame, column: str = "quality", most: i
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], ["doc_id", "ids", "values", "y"])
 
     chosen = sample(docs, labels, column, most).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = sorted(chosen.mapInArrow(run, "doc_id long, ids binary, values binary, y int").collect())
+    rows = sorted(chosen.mapInArrow(run, "doc_id long, ids binary, values binary, y double").collect())
     vectors = [(np.frombuffer(bytes(r["ids"]), "<i4").astype(np.int64), np.frombuffer(bytes(r["values"]), "<f4").astype(float)) for r in rows]
     return fit(vectors, np.array([r["y"] for r in rows]))
 

@@ -233,7 +233,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Tagger:
             ids = [np.array([bucket(w) for w in WORD.findall((x.as_py() or b"").decode("utf-8", "replace"))], "<i4").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(2)], ["doc_id", "ids", "y"])
 
-    chosen = sample(docs, labels.where("toxic in (0, 1)"), "toxic", most).withColumn("doc_id", F.col("doc_id").cast("long"))
+    chosen = sample(docs, labels.where("toxic in (0, 1)"), "toxic", most).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("y", F.col("y").cast("int"))
     rows = sorted(chosen.mapInArrow(run, "doc_id long, ids binary, y int").collect())
     return fit([np.frombuffer(bytes(r["ids"]), "<i4").astype(np.int64) for r in rows], np.array([r["y"] for r in rows], float))
 
