@@ -95,7 +95,10 @@ def distinct_kmers(spark, sf_dir):
 
 
 def corrections(spark, sf_dir, parity: int) -> DataFrame:
-    """Two sets of corrections to combine: winning votes in reads or positions of some kind."""
+    """Two sets of corrections to combine: winning votes and single unique fixes; with SQL, its parts of the winning votes."""
+    if not isinstance(sf_dir, FirstWindows):
+        whole = single_unique_fix(spark, sf_dir) if parity else votes.winners(ballots(spark, sf_dir))
+        return whole.select("read_id", "pos", "b")
     w = votes.winners(ballots(spark, sf_dir))
     return w.where("pos % 3 <> 0") if parity == 0 else w.where("pos % 2 = 0").select("read_id", "pos", F.when(F.col("pos") % 4 == 0, F.lit("A")).otherwise(F.col("b")).alias("b"))
 
