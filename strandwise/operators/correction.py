@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +19,14 @@ from .kernels.lookup import SolidSet
 
 def solid_set(solid: DataFrame, k: int, most_bytes: int = 2 << 30) -> SolidSet:
     """The solid set as arrays for a broadcast, after a check of its size (9 bytes for each k-mer)."""
-    rows = solid.count()
-    if rows * 9 > most_bytes:
-        raise ValueError(f"{rows} solid k-mers take more than {most_bytes} bytes; raise the threshold or max_solid_bytes")
-    packed = solid.select(fk.pack_left("kmer").alias("p"), F.col("m").cast("int").alias("m")).toArrow()
+    kept = solid.select(fk.pack_left("kmer", clean=True).alias("p"), F.col("m").cast("int").alias("m")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = kept.count()
+        if rows * 9 > most_bytes:
+            raise ValueError(f"{rows} solid k-mers take more than {most_bytes} bytes; raise the threshold or max_solid_bytes")
+        packed = kept.toArrow()
+    finally:
+        kept.unpersist()
     left = packed.column("p").to_numpy().astype(np.int64).view(np.uint64)
     return SolidSet(left >> np.uint64(64 - 2 * k) if k < 32 else left, packed.column("m").to_numpy(), k)
 
@@ -40,6 +45,8 @@ def correct(reads: DataFrame, kernel) -> DataFrame:
     """reads (read_id, name, bases, quals, ...) with corrected bases and quals, plus n_corrections and status.
 
     n_corrections counts the positions that differ (0 if the read was trimmed). One pass, no shuffle.
+    Reads that the corrector would give back as they are, by their solid windows alone, are found for
+    a whole batch at once; only the others are walked one by one.
     """
     shared = reads.sparkSession.sparkContext.broadcast(kernel)
     names = reads.columns
@@ -49,8 +56,8 @@ def correct(reads: DataFrame, kernel) -> DataFrame:
         own = shared.value
         for batch in batches:
             bases, quals, changed, status = [], [], [], []
-            for old, qual in zip(batch.column(b).to_pylist(), batch.column(q).to_pylist()):
-                new, new_qual, said = own.correct(old or "", qual or "")
+            for old, qual, done in zip(batch.column(b).to_pylist(), batch.column(q).to_pylist(), own.settled(batch.column(b))):
+                new, new_qual, said = own.correct(old or "", qual or "") if not done or len(old) != len(qual or "") else (old, qual, own.SETTLED)
                 bases.append(new)
                 quals.append(new_qual)
                 changed.append(sum(x != y for x, y in zip(old, new)) if old and len(old) == len(new) and old != new else 0)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from strandwise.config import Conservative
 
+from .batch import all_solid
 from .lookup import SolidSet, decode, encode
 
 
@@ -26,6 +28,12 @@ def covered(regions: list[tuple[int, int]], n: int, k: int) -> np.ndarray:
 class Corrector:
     """correct(bases, quals) -> (bases, quals, status)."""
 
+    SETTLED = "clean"
+
+    def settled(self, bases: pa.Array) -> np.ndarray:
+        """Reads of solid windows only."""
+        return all_solid(bases, self.solid, self.threshold)
+
     def __init__(self, solid: SolidSet, threshold: int, config: Conservative | None = None):
         self.solid, self.k, self.threshold, self.config = solid, solid.k, threshold, config or Conservative()
 

@@ -8,6 +8,8 @@ CODE = np.zeros(256, np.uint8)
 for _i, _b in enumerate("ACGT"):
     CODE[ord(_b)] = CODE[ord(_b.lower())] = _i
 LETTERS = "ACGT"
+#: Odd, about 2^64 over the golden ratio: products spread neighbouring keys.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def encode(bases: str) -> np.ndarray:
@@ -35,20 +37,34 @@ class SolidSet:
         self.keys, self.counts, self.k = keys[order], counts[order].astype(np.uint8), k
         self.mask = (1 << (2 * k)) - 1
         self.known: dict[int, int] = {}
+        self._sieve = None
 
     def __getstate__(self):
         return self.keys, self.counts, self.k
 
     def __setstate__(self, state):
         self.keys, self.counts, self.k = state
-        self.mask, self.known = (1 << (2 * self.k)) - 1, {}
+        self.mask, self.known, self._sieve = (1 << (2 * self.k)) - 1, {}, None
+
+    def sieve(self) -> tuple[np.ndarray, np.uint64]:
+        """(whether any key falls there, by the top bits of a product; how far the product is shifted): about eight places a key, at most 64 MB."""
+        if self._sieve is None:
+            bits = min(26, max(10, int(len(self.keys) * 8).bit_length()))
+            places = np.zeros(1 << bits, bool)
+            places[(self.keys * SPREAD) >> np.uint64(64 - bits)] = True
+            self._sieve = places, np.uint64(64 - bits)
+        return self._sieve
 
     def of_many(self, forward: np.ndarray, back: np.ndarray) -> np.ndarray:
         own = np.minimum(forward, back)
-        if not len(self.keys):
-            return np.zeros(len(own), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-        return np.where(self.keys[at] == own, self.counts[at], 0).astype(np.int64)
+        out = np.zeros(len(own), np.int64)
+        if len(self.keys) and len(own):
+            places, shift = self.sieve()
+            maybe = np.flatnonzero(places[(own * SPREAD) >> shift])
+            some = own[maybe]
+            at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+            out[maybe] = np.where(self.keys[at] == some, self.counts[at], 0)
+        return out
 
     def windows(self, codes: np.ndarray) -> np.ndarray:
         """Multiplicity of every window, 0 if not solid."""

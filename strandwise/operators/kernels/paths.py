@@ -10,9 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 
 from strandwise.config import Consensus, Scored
 
+from .batch import all_solid
 from .lookup import SolidSet, decode, encode
 
 
@@ -46,6 +48,7 @@ def islands(good: np.ndarray) -> list[list[int]]:
 class PathCorrector:
     """What both correctors share; correct(bases, quals) -> (bases, quals, status)."""
 
+    SETTLED = "unchanged"
     shave_ends_always = False
     #: Whether paths found before a walk met too many still count; how many bases a branch may try towards an end.
     partial, tried_limit = False, None
@@ -54,6 +57,10 @@ class PathCorrector:
         self.solid, self.k, self.config = solid, solid.k, config
         self.offset, self.low, self.extreme = offset, low, extreme
 
+    def settled(self, bases: pa.Array) -> np.ndarray:
+        """Reads of solid windows only; where regions are shaved even at a read's ends, qualities count too and none is settled."""
+        return np.zeros(len(bases), bool) if self.shave_ends_always else all_solid(bases, self.solid)
+
     # --- k-mers as (forward, reverse complement) values
 
     def kmer(self, codes, window: int) -> tuple[int, int]:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions import kmers as fk
 
+from .kernels import batch as kernel
+
 QS_BINS, KMER_BINS, MIN_COUNT, MAX_COUNT = 127, 256, 2, 255
 
 
@@ -30,10 +35,30 @@ def mates(pairs: DataFrame) -> DataFrame:
     return left.unionByName(pairs.select(F.col("pair_id").alias("read_id"), "right.bases", "right.quals"))
 
 
+def packed_counts(reads: DataFrame, k: int, n_as_a: bool = False) -> DataFrame:
+    """(p, cnt): canonical k-mers packed into a BIGINT, right-aligned.
+
+    Each Arrow batch is counted by itself, so that a k-mer of which a batch is full leaves it as one
+    row; partial sums follow before the one shuffle, of 16 bytes a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield kernel.partial_counts(b.column(0), k, n_as_a)
+
+    return reads.select("bases").mapInArrow(run, "p long, n long").groupBy("p").agg(F.sum("n").alias("cnt"))
+
+
+def letters(p: Column | str, k: int) -> Column:
+    """The k-mer of a right-aligned packed value."""
+    return fk.unpack(p, k) if k < 32 else fk.unpack_left(p, k)
+
+
 def count_kmers(reads: DataFrame, k: int, least: int = MIN_COUNT, n_as_a: bool = False) -> DataFrame:
-    """(kmer, cnt) of canonical k-mers seen at least `least` times; partial sums run before the shuffle."""
-    counts = windows(reads, k, n_as_a).groupBy(F.col("canon").alias("kmer")).agg(F.count("*").alias("cnt"))
-    return counts.where(F.col("cnt") >= least) if least > 1 else counts
+    """(kmer, cnt) of canonical k-mers seen at least `least` times; letters are made for these only."""
+    counts = packed_counts(reads, k, n_as_a)
+    counts = counts.where(F.col("cnt") >= least) if least > 1 else counts
+    return counts.select(letters("p", k).alias("kmer"), "cnt")
 
 
 def saturated(counts: DataFrame, most: int = MAX_COUNT) -> DataFrame:

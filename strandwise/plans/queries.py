@@ -1,59 +1,62 @@
 """Queries over the supplied tables and the SQL that gives the same rows.
 
 There is no table of reads, so reads are windows of 60 letters of documents, letters mapped to bases
-and to quality characters; the last window of a document may be shorter than a k-mer or empty.
-
-A query that has SQL reads what its SQL does: of documents of 60 letters or more, the first six
-windows. Its sibling NAME_whole, and every query without SQL, reads all windows of all texts.
+and to quality characters: all windows of every whole text. The last window of a document may be
+shorter than a k-mer or empty; a null text has none.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.config import Settings
 from strandwise.functions import kmers as fk
-from strandwise.operators import correction, regions, setops, solid, spectrum, thresholds, votes
+from strandwise.operators import correction, order, profiles, setops, solid, spectrum, thresholds, votes
 from strandwise.sources import fastq
+from strandwise.sources.staging import scratch
 from strandwise.streaming import counts as streaming
 
-K, MIN, SOLID, WIDTH, PER_DOC = 13, 2, 3, 60, 6
+K, MIN, SOLID, WIDTH = 13, 2, 3, 60
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTNA"
 QUALS = "#$%&()*+,-./0123456789:;<="
 LOW, FIRST_K = 12, 13
 #: read_id is doc_id * WINDOWS + window; even, and more than the windows of the longest string there can be.
 WINDOWS = 1 << 26
+#: Inputs of fewer bytes for each core than this are dealt to all cores: one file may be one task.
+SMALL_INPUT = 16 << 20
+
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, s, q): every document's letters as bases and as qualities.
 
-class FirstWindows(str):
-    """A folder whose documents are read as READS does, for the queries that have SQL."""
+    A file is read by as many tasks as it has row groups. So that a small file of one row group keeps
+    more than one core busy, a small input is dealt out once; a large one isn't moved.
+    """
+    path = f"{sf_dir}/documents.parquet"
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if sum(size for _, size in fastq.files(path)) < cores * SMALL_INPUT:
+        docs = docs.repartition(cores)
+    t = docs.select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("t"))
+    return t.select("doc_id", F.translate("t", LETTERS, BASES).alias("s"), F.translate("t", LETTERS, QUALS).alias("q"))
+
+
+def cut(column: str, i) -> F.Column:
+    return F.substr(column, (i * WIDTH + 1).cast("int"), F.lit(WIDTH))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = isinstance(sf_dir, FirstWindows)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("t"))
-    d = docs.where(F.length("t") >= WIDTH) if first else docs
-    d = d.select("doc_id", F.translate("t", LETTERS, BASES).alias("s"), F.translate("t", LETTERS, QUALS).alias("q"))
-    last = f"cast(length(s) as bigint) div {WIDTH}"
-    i = F.explode(F.expr(f"sequence(0L, least({last}, {PER_DOC - 1}L))" if first else f"sequence(0L, {last})")).alias("i")
-    cut = lambda c: F.substr(c, (F.col("i") * WIDTH + 1).cast("int"), F.lit(WIDTH))
-    return d.select("doc_id", "s", "q", i).select((F.col("doc_id") * (1000 if first else WINDOWS) + F.col("i")).alias("read_id"), cut("s").alias("bases"), cut("q").alias("quals"))
+    each = documents(spark, sf_dir).withColumn("i", F.explode(F.expr(f"sequence(0L, cast(length(s) as bigint) div {WIDTH})")))
+    return each.select((F.col("doc_id") * WINDOWS + F.col("i")).alias("read_id"), cut("s", F.col("i")).alias("bases"), cut("q", F.col("i")).alias("quals"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows 2j and 2j + 1 of a document as mates; over whole texts, a last window without a mate has an empty one."""
-    r = reads(spark, sf_dir)
-    left = r.where("read_id % 2 = 0").select(F.col("read_id").alias("pair_id"), F.struct("bases", "quals").alias("left"))
-    right = r.where("read_id % 2 = 1").select((F.col("read_id") - 1).alias("pair_id"), F.struct("bases", "quals").alias("right"))
-    if isinstance(sf_dir, FirstWindows):
-        return left.join(right, "pair_id")
-    none = F.struct(F.lit("").alias("bases"), F.lit("").alias("quals"))
-    return left.join(right, "pair_id", "left").withColumn("right", F.coalesce("right", none))
+    """Windows 2j and 2j + 1 of a document as mates, cut side by side; a last window without a mate has an empty one."""
+    each = documents(spark, sf_dir).withColumn("i", F.explode(F.expr(f"sequence(0L, cast(length(s) as bigint) div {WIDTH}, 2L)")))
+    mate = lambda at: F.struct(cut("s", at).alias("bases"), cut("q", at).alias("quals"))
+    return each.select((F.col("doc_id") * WINDOWS + F.col("i")).alias("pair_id"), mate(F.col("i")).alias("left"), mate(F.col("i") + 1).alias("right"))
 
 
 def flat_pairs(spark, sf_dir):
@@ -68,39 +71,33 @@ def trusted(spark, sf_dir):
     return solid.solid_kmers(counts(spark, sf_dir), SOLID)
 
 
-def solid_positions(spark, sf_dir):
-    return solid.solid_windows(reads(spark, sf_dir), trusted(spark, sf_dir), K)
+def profile(spark, sf_dir):
+    return profiles.profile(reads(spark, sf_dir), trusted(spark, sf_dir), K)
 
 
-def isles(spark, sf_dir):
-    return regions.islands(solid_positions(spark, sf_dir))
+def mutations(spark, sf_dir):
+    return profiles.mutations(reads(spark, sf_dir), trusted(spark, sf_dir), K)
 
 
-def mutations(spark, sf_dir):
-    s = trusted(spark, sf_dir)
-    return votes.mutations(solid.weak_windows(reads(spark, sf_dir), s, K), s, K)
+def poll(spark, sf_dir):
+    return profiles.votes(reads(spark, sf_dir), trusted(spark, sf_dir), K)
 
 
 def ballots(spark, sf_dir):
-    return votes.votes(mutations(spark, sf_dir))
+    return poll(spark, sf_dir).select("read_id", F.inline("votes"))
 
 
-def covered_positions(spark, sf_dir):
-    each = isles(spark, sf_dir).select("read_id", F.explode(F.sequence("l", F.col("r") + K - 1)).alias("pos"))
-    return each.distinct()
+def chosen(spark, sf_dir):
+    return poll(spark, sf_dir).select("read_id", F.inline(profiles.winners()))
 
 
 def distinct_kmers(spark, sf_dir):
     return spectrum.windows(reads(spark, sf_dir), K).select("kmer").distinct()
 
 
-def corrections(spark, sf_dir, parity: int) -> DataFrame:
-    """Two sets of corrections to combine: winning votes and single unique fixes; with SQL, its parts of the winning votes."""
-    if not isinstance(sf_dir, FirstWindows):
-        whole = single_unique_fix(spark, sf_dir) if parity else votes.winners(ballots(spark, sf_dir))
-        return whole.select("read_id", "pos", "b")
-    w = votes.winners(ballots(spark, sf_dir))
-    return w.where("pos % 3 <> 0") if parity == 0 else w.where("pos % 2 = 0").select("read_id", "pos", F.when(F.col("pos") % 4 == 0, F.lit("A")).otherwise(F.col("b")).alias("b"))
+def corrections(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two sets of corrections to combine: winning votes, and single unique fixes."""
+    return chosen(spark, sf_dir), single_unique_fix(spark, sf_dir)
 
 
 def histogram(spark, sf_dir):
@@ -112,11 +109,11 @@ def cutoffs(spark, sf_dir):
 
 
 READS = f"""d AS (SELECT doc_id, translate(t, '{LETTERS}', '{BASES}') AS s, translate(t, '{LETTERS}', '{QUALS}') AS q
-  FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS t FROM documents) WHERE length(t) >= {WIDTH}),
-reads AS (SELECT doc_id * 1000 + i AS read_id, substr(s, i * {WIDTH} + 1, {WIDTH}) AS bases, substr(q, i * {WIDTH} + 1, {WIDTH}) AS quals
-  FROM (SELECT doc_id, s, q, unnest(range(0, least(length(s) // {WIDTH}, {PER_DOC - 1}) + 1)) AS i FROM d))"""
-PAIRS = """pairs AS (SELECT a.read_id AS pair_id, a.bases AS left_bases, a.quals AS left_quals, b.bases AS right_bases, b.quals AS right_quals
-  FROM reads a JOIN reads b ON b.read_id = a.read_id + 1 WHERE a.read_id % 2 = 0)"""
+  FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS t FROM documents)),
+reads AS MATERIALIZED (SELECT doc_id * {WINDOWS} + i AS read_id, substr(s, i * {WIDTH} + 1, {WIDTH}) AS bases, substr(q, i * {WIDTH} + 1, {WIDTH}) AS quals
+  FROM (SELECT doc_id, s, q, unnest(range(0, length(s) // {WIDTH} + 1)) AS i FROM d))"""
+PAIRS = """pairs AS (SELECT a.read_id AS pair_id, a.bases AS left_bases, a.quals AS left_quals, coalesce(b.bases, '') AS right_bases, coalesce(b.quals, '') AS right_quals
+  FROM reads a LEFT JOIN reads b ON b.read_id = a.read_id + 1 WHERE a.read_id % 2 = 0)"""
 
 
 def windows_sql(source: str = "reads", name: str = "win", n_as_a: bool = False) -> str:
@@ -141,9 +138,18 @@ mut AS (SELECT read_id, pos, o::INTEGER AS o, b, m FROM cand JOIN solid ON least
 votes AS (SELECT read_id, (pos + o)::BIGINT AS pos, b, count(*)::BIGINT AS votes FROM mut GROUP BY 1, 2, 3),
 winners AS (SELECT read_id, pos, min(b) AS b FROM (SELECT *, max(votes) OVER (PARTITION BY read_id) AS top FROM votes) WHERE votes = top AND top >= {votes.MIN_VOTES} GROUP BY 1, 2 HAVING count(*) = 1)"""
 VOTES = f"{ALL},\n{MUTATIONS}"
+SINGLE = f"""{SOLID_WIN},
+cov AS (SELECT DISTINCT read_id, pos + i AS p FROM sw, (SELECT unnest(range(0, {K})) AS i)),
+open AS (SELECT read_id, p, least(p, n - {K}) AS s, greatest(p - {K - 1}, 0) AS e FROM (SELECT read_id, length(bases) AS n, unnest(range(0, length(bases))) AS p FROM reads WHERE length(bases) >= {2 * K - 1}) x
+  WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.read_id = x.read_id AND cov.p = x.p)),
+both_ends AS (SELECT open.read_id, open.p, a.b FROM open JOIN mut a ON a.read_id = open.read_id AND a.pos = open.s AND a.pos + a.o = open.p
+  JOIN mut z ON z.read_id = open.read_id AND z.pos = open.e AND z.pos + z.o = open.p AND z.b = a.b),
+single AS (SELECT read_id, p, min(b) AS b FROM both_ends GROUP BY 1, 2 HAVING count(*) = 1),
+fixes AS (SELECT read_id, p::BIGINT AS pos, b FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY p) AS rn FROM single) WHERE rn = 1)"""
 CORRECTIONS = f"""{VOTES},
-ca AS (SELECT * FROM winners WHERE pos % 3 <> 0),
-cb AS (SELECT read_id, pos, CASE WHEN pos % 4 = 0 THEN 'A' ELSE b END AS b FROM winners WHERE pos % 2 = 0)"""
+{SINGLE},
+ca AS (SELECT * FROM winners),
+cb AS (SELECT * FROM fixes)"""
 HIST = f"""{BASE},
 h AS (SELECT 1 AS hid, bin::INTEGER AS bin, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(0, 256)) AS bin)
   LEFT JOIN (SELECT least(cnt, 255) AS bin, count(*) AS n FROM cnts GROUP BY 1) USING (bin))"""
@@ -169,11 +175,9 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None):
     def register(f):
-        name = f.__name__
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql:
-            SQL[name] = sql
-            QUERIES[name], QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(spark, FirstWindows(sf_dir)), f
+            SQL[f.__name__] = sql
         return f
 
     return register
@@ -371,34 +375,36 @@ def solid_refilter(spark, sf_dir):
 
 @query(f"{ALL} SELECT read_id, count(*)::BIGINT AS n, sum(coalesce(m, 0))::BIGINT AS total, max(coalesce(m, 0))::INTEGER AS most FROM wina LEFT JOIN solid ON canon = solid.kmer GROUP BY 1")
 def kmer_multiplicity(spark, sf_dir):
-    m = solid.multiplicity(reads(spark, sf_dir), trusted(spark, sf_dir), K)
-    return m.groupBy("read_id").agg(F.count("*").alias("n"), F.sum("m").cast("bigint").alias("total"), F.max("m").alias("most"))
+    p = profile(spark, sf_dir).where(F.size("m") > 0)
+    return p.select("read_id", F.size("m").cast("bigint").alias("n"), F.aggregate("m", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.array_max("m").alias("most"))
 
 
 @query(f"{ALL} SELECT read_id, count(*)::BIGINT AS n, sum(pos)::BIGINT AS places FROM wina WHERE canon NOT IN (SELECT kmer FROM solid) GROUP BY 1")
 def weak_kmers(spark, sf_dir):
-    w = solid.weak_windows(reads(spark, sf_dir), trusted(spark, sf_dir), K)
-    return w.groupBy("read_id").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+    at = F.filter(F.transform("m", lambda x, i: F.when(x == 0, i.cast("bigint"))), lambda i: i.isNotNull())
+    p = profile(spark, sf_dir).select("read_id", at.alias("at")).where(F.size("at") > 0)
+    return p.select("read_id", F.size("at").cast("bigint").alias("n"), F.aggregate("at", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("places"))
 
 
 @query(f"{ALL}, {SOLID_WIN} SELECT read_id, pos FROM sw")
 def solid_window_positions(spark, sf_dir):
-    return solid_positions(spark, sf_dir).select("read_id", "pos")
+    p = profile(spark, sf_dir).select("read_id", F.posexplode("m")).where("col > 0")
+    return p.select("read_id", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query(f"{REGIONS} SELECT read_id, sum(least(r + {K - 1}, coalesce(nl - 1, r + {K - 1})) - l + 1)::BIGINT AS covered FROM (SELECT *, lead(l) OVER (PARTITION BY read_id ORDER BY l) AS nl FROM isles) GROUP BY 1")
 def coverage_bitmap(spark, sf_dir):
-    return regions.coverage(isles(spark, sf_dir), K)
+    return profile(spark, sf_dir).where(F.size("isles") > 0).select("read_id", profiles.covered(K).alias("covered"))
 
 
 @query(f"{REGIONS}, cov AS (SELECT read_id, count(DISTINCT p) AS covered FROM (SELECT read_id, unnest(range(l, r + {K})) AS p FROM isles) GROUP BY 1) SELECT read_id FROM cov JOIN reads USING (read_id) WHERE covered = length(bases)")
 def error_free_reads(spark, sf_dir):
-    return regions.error_free(reads(spark, sf_dir), regions.coverage(isles(spark, sf_dir), K))
+    return profile(spark, sf_dir).where((F.size("isles") > 0) & (profiles.covered(K) == F.col("n"))).select("read_id")
 
 
 @query(f"{REGIONS} SELECT * FROM isles")
 def solid_islands(spark, sf_dir):
-    return isles(spark, sf_dir)
+    return profile(spark, sf_dir).select("read_id", F.inline("isles"))
 
 
 LONGEST = f"{REGIONS}, best AS (SELECT read_id, l, r FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY r - l DESC, l) AS rn FROM isles) WHERE rn = 1)"
@@ -406,17 +412,19 @@ LONGEST = f"{REGIONS}, best AS (SELECT read_id, l, r FROM (SELECT *, row_number(
 
 @query(f"{LONGEST} SELECT * FROM best")
 def longest_island(spark, sf_dir):
-    return regions.longest(isles(spark, sf_dir))
+    best = profile(spark, sf_dir).select("read_id", profiles.longest().alias("x")).where("x is not null")
+    return best.select("read_id", "x.l", "x.r")
 
 
 @query(f"{LONGEST} SELECT read_id, l AS first, r + {K - 1} AS last FROM best JOIN reads USING (read_id) WHERE l > 0 AND length(bases) - (r + {K - 1} - l + 1) <= 40")
 def trim_interval(spark, sf_dir):
-    return regions.trim_interval(reads(spark, sf_dir), isles(spark, sf_dir), K, 40)
+    best = profile(spark, sf_dir).select("read_id", "n", profiles.longest().alias("x")).where(f"x.l > 0 and n - (x.r + {K - 1} - x.l + 1) <= 40")
+    return best.select("read_id", F.col("x.l").alias("first"), (F.col("x.r") + K - 1).alias("last"))
 
 
 @query(f"{REGIONS} SELECT read_id, l, l - p - 1 AS gap FROM (SELECT *, lag(r) OVER (PARTITION BY read_id ORDER BY l) AS p FROM isles) WHERE p IS NOT NULL")
 def gap_lengths(spark, sf_dir):
-    return regions.gaps(isles(spark, sf_dir))
+    return profile(spark, sf_dir).select("read_id", F.inline(profiles.gaps()))
 
 
 @query(f"{VOTES} SELECT read_id, pos, o, b, m FROM mut")
@@ -431,12 +439,12 @@ def vote_counts(spark, sf_dir):
 
 @query(f"{VOTES} SELECT read_id, max(votes)::BIGINT AS votes FROM votes GROUP BY 1")
 def max_votes(spark, sf_dir):
-    return votes.max_votes(ballots(spark, sf_dir))
+    return poll(spark, sf_dir).where(F.size("votes") > 0).select("read_id", profiles.most_votes().alias("votes"))
 
 
 @query(f"{VOTES} SELECT * FROM winners")
 def vote_winners(spark, sf_dir):
-    return votes.winners(ballots(spark, sf_dir))
+    return chosen(spark, sf_dir)
 
 
 @query(
@@ -445,22 +453,13 @@ px AS (SELECT read_id, bases, unnest(range(0, length(bases))) AS p FROM reads WH
 SELECT px.read_id, string_agg(coalesce(w.b, substr(bases, p + 1, 1)), '' ORDER BY p) AS bases FROM px LEFT JOIN winners w ON w.read_id = px.read_id AND w.pos = p GROUP BY 1"""
 )
 def vote_corrected_reads(spark, sf_dir):
-    return votes.corrected(reads(spark, sf_dir), votes.winners(ballots(spark, sf_dir)))
+    won = poll(spark, sf_dir).select("read_id", "bases", profiles.winners().alias("fixes")).where(F.size("fixes") > 0)
+    return won.select("read_id", profiles.applied("fixes").alias("bases"))
 
 
-@query(
-    f"""{VOTES},
-{SOLID_WIN},
-cov AS (SELECT DISTINCT read_id, pos + i AS p FROM sw, (SELECT unnest(range(0, {K})) AS i)),
-open AS (SELECT read_id, p, least(p, n - {K}) AS s, greatest(p - {K - 1}, 0) AS e FROM (SELECT read_id, length(bases) AS n, unnest(range(0, length(bases))) AS p FROM reads WHERE length(bases) >= {2 * K - 1}) x
-  WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.read_id = x.read_id AND cov.p = x.p)),
-both_ends AS (SELECT open.read_id, open.p, a.b FROM open JOIN mut a ON a.read_id = open.read_id AND a.pos = open.s AND a.pos + a.o = open.p
-  JOIN mut z ON z.read_id = open.read_id AND z.pos = open.e AND z.pos + z.o = open.p AND z.b = a.b),
-single AS (SELECT read_id, p, min(b) AS b FROM both_ends GROUP BY 1, 2 HAVING count(*) = 1)
-SELECT read_id, p::BIGINT AS pos, b FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY p) AS rn FROM single) WHERE rn = 1"""
-)
+@query(f"{VOTES}, {SINGLE} SELECT * FROM fixes")
 def single_unique_fix(spark, sf_dir):
-    return votes.unique_fixes(reads(spark, sf_dir), covered_positions(spark, sf_dir), mutations(spark, sf_dir), K)
+    return profiles.unique_fixes(reads(spark, sf_dir), trusted(spark, sf_dir), K)
 
 
 @query(f"{QPOS} SELECT * FROM qp WHERE q < {LOW}")
@@ -481,31 +480,31 @@ def error_probability(spark, sf_dir):
 
 @query(f"{VOTES} SELECT read_id, o, b, m FROM mut WHERE pos = 0")
 def first_kmer_substitutions(spark, sf_dir):
-    s = trusted(spark, sf_dir)
-    weak = solid.weak_windows(reads(spark, sf_dir), s, K).where("pos = 0")
-    return votes.mutations(weak, s, K).select("read_id", "o", "b", "m")
+    """Mutants of the first window alone: of each read only its first k bases are looked at."""
+    first = reads(spark, sf_dir).where(F.length("bases") >= K).withColumn("bases", F.substr("bases", F.lit(1), F.lit(K)))
+    return profiles.mutations(first, trusted(spark, sf_dir), K).select("read_id", "o", "b", "m")
 
 
 @query(f"{CORRECTIONS} SELECT * FROM ca INTERSECT SELECT * FROM cb")
 def corr_intersection(spark, sf_dir):
-    return setops.intersection(corrections(spark, sf_dir, 0), corrections(spark, sf_dir, 1))
+    return setops.intersection(*corrections(spark, sf_dir))
 
 
 @query(f"{CORRECTIONS} SELECT read_id, pos, coalesce(ca.b, cb.b) AS b FROM ca FULL JOIN cb USING (read_id, pos)")
 def corr_union(spark, sf_dir):
-    return setops.union(corrections(spark, sf_dir, 0), corrections(spark, sf_dir, 1))
+    return setops.union(*corrections(spark, sf_dir))
 
 
 @query(f"{CORRECTIONS} SELECT * FROM ca WHERE NOT EXISTS (SELECT 1 FROM cb WHERE cb.read_id = ca.read_id AND cb.pos = ca.pos)")
 def corr_difference(spark, sf_dir):
-    return setops.difference(corrections(spark, sf_dir, 0), corrections(spark, sf_dir, 1))
+    return setops.difference(*corrections(spark, sf_dir))
 
 
 @query(f"WITH {READS} SELECT read_id, row_number() OVER (ORDER BY read_id)::BIGINT AS place, bases FROM reads")
 def ordered_output(spark, sf_dir):
-    """Reads in order with their place, by range partitions: one count per partition is all that is gathered."""
-    r = reads(spark, sf_dir).repartitionByRange("read_id").sortWithinPartitions("read_id")
-    return fastq.ordinals(r).select("read_id", (F.col("ordinal") + 1).alias("place"), "bases")
+    """Reads in order with their place: sorted ranges are written once, places are counted over the files."""
+    r = order.numbered(reads(spark, sf_dir), ["read_id"], f"{scratch(spark)}/ordered")
+    return r.select("read_id", (F.col("ordinal") + 1).alias("place"), "bases")
 
 
 def named_reads(spark, sf_dir):
@@ -530,14 +529,6 @@ def stream_kmer_count(spark, sf_dir):
     return streaming.drain(streaming.count_stream(stream, K, MIN), f"kmers_{folder.rsplit('-', 1)[-1]}", f"{folder}/state")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or (local masters) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/strandwise-{uuid.uuid4().hex}"
-
-
 def corrected_by(algorithm: str, low: int = 3):
     def run(spark, sf_dir):
         r = reads(spark, sf_dir)
