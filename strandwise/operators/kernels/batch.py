@@ -162,9 +162,13 @@ def mutations(column: pa.Array, solid: SolidSet):
         yield first + read, pos, o, LETTERS[b], m
 
 
-def vote_lists(column: pa.Array, solid: SolidSet) -> pa.ListArray:
-    """For every read the (pos, b, votes) by position and base: windows that would be solid with that base there."""
-    owners, places, bases, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def vote_lists(column: pa.Array, solid: SolidSet, least: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """For every read the (pos, b, votes) by position and base: windows that would be solid with that base there; and the (pos, b) that win.
+
+    They win where exactly one base has the read's most votes, at least `least`.
+    """
+    none = np.empty(0, np.int64)
+    owners, places, bases, counts = [none], [none], [none], [none]
     for first, _, w, _, mutants in each_portion(column, solid):
         read, pos, o, b, _ = mutants.hits()
         key, n = np.unique((w.offsets[read] + pos + o) * 4 + b, return_counts=True)
@@ -174,8 +178,16 @@ def vote_lists(column: pa.Array, solid: SolidSet) -> pa.ListArray:
         places.append(place - w.offsets[own])
         bases.append(key % 4)
         counts.append(n)
-    ballots = pa.StructArray.from_arrays([pa.array(np.concatenate(places)), pa.array(LETTERS[np.concatenate(bases)]).cast(pa.string()), pa.array(np.concatenate(counts))], ["pos", "b", "votes"])
-    return lists(np.concatenate(owners), len(column), ballots)
+    owner, pos, base, n = (np.concatenate(x) for x in (owners, places, bases, counts))
+    names = pa.array(LETTERS[base]).cast(pa.string())
+    top = np.zeros(len(column), np.int64)
+    np.maximum.at(top, owner, n)
+    best = np.flatnonzero((n == top[owner]) & (n >= least))
+    same = (owner[best][1:] == owner[best][:-1]) & (pos[best][1:] == pos[best][:-1])
+    won = best[~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))] if len(best) else best
+    ballots = pa.StructArray.from_arrays([pa.array(pos), names, pa.array(n)], ["pos", "b", "votes"])
+    winners = pa.StructArray.from_arrays([pa.array(pos[won]), names.take(pa.array(won))], ["pos", "b"])
+    return lists(owner, len(column), ballots), lists(owner[won], len(column), winners)
 
 
 def unique_fixes(column: pa.Array, solid: SolidSet):

@@ -78,22 +78,31 @@ def mutations(reads: DataFrame, solid: DataFrame, k: int, most_bytes: int = MOST
 BALLOTS = "array<struct<pos:long,b:string,votes:long>>"
 
 
-def votes(reads: DataFrame, solid: DataFrame, k: int, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(read_id, bases, votes) for every read: by position and base, how many windows would be solid with that base there."""
+WON = "array<struct<pos:long,b:string>>"
+
+
+def votes(reads: DataFrame, solid: DataFrame, k: int, most_bytes: int = MOST_BYTES, least: int = ballots.MIN_VOTES) -> DataFrame:
+    """(read_id, bases, votes, won) for every read.
+
+    votes: by position and base, how many windows would be solid with that base there. won: (pos, b)
+    of positions where exactly one base has the read's most votes, at least `least`.
+    """
 
     def arrays(own: SolidSet) -> DataFrame:
         shared = reads.sparkSession.sparkContext.broadcast(own)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kernel.vote_lists(batch.column(1), shared.value)], ["read_id", "bases", "votes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *kernel.vote_lists(batch.column(1), shared.value, least)], ["read_id", "bases", "votes", "won"])
 
-        return reads.select(F.col("read_id").cast("long").alias("read_id"), "bases").mapInArrow(run, f"read_id long, bases string, votes {BALLOTS}")
+        return reads.select(F.col("read_id").cast("long").alias("read_id"), "bases").mapInArrow(run, f"read_id long, bases string, votes {BALLOTS}, won {WON}")
 
     def join(table: DataFrame) -> DataFrame:
         flat = ballots.votes(ballots.mutations(solids.weak_windows(reads, table, k), table, k))
         each = flat.groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("pos", "b", "votes"))).alias("votes"))
-        return reads.select("read_id", "bases").join(each, "read_id", "left").withColumn("votes", F.coalesce("votes", F.array().cast(BALLOTS)))
+        best = ballots.winners(flat, least).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("pos", "b"))).alias("won"))
+        both = reads.select("read_id", "bases").join(each.join(best, "read_id", "left"), "read_id", "left")
+        return both.withColumns({"votes": F.coalesce("votes", F.array().cast(BALLOTS)), "won": F.coalesce("won", F.array().cast(WON))})
 
     return by_size(solid, k, most_bytes, arrays, join)
 
@@ -141,13 +150,6 @@ def most_votes(each: Column | str = "votes") -> Column:
     return F.array_max(F.transform(each, lambda x: x["votes"]))
 
 
-def winners(each: str = "votes", least: int = ballots.MIN_VOTES) -> Column:
-    """(pos, b): positions where exactly one base has the read's most votes, at least `least`."""
-    top = F.filter(each, lambda x: (x["votes"] == most_votes(each)) & (x["votes"] >= least))
-    alone = F.filter(top, lambda x: F.size(F.filter(top, lambda y: y["pos"] == x["pos"])) == 1)
-    return F.transform(alone, lambda x: F.struct(x["pos"].alias("pos"), x["b"].alias("b")))
-
-
 def applied(fixes: Column | str, bases: str = "bases") -> Column:
     """The bases with all fixes (pos, b) applied."""
     return F.aggregate(fixes, F.col(bases), lambda s, f: F.overlay(s, f["b"], (f["pos"] + 1).cast("int"), F.lit(1)))

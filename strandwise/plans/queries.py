@@ -88,7 +88,7 @@ def ballots(spark, sf_dir):
 
 
 def chosen(spark, sf_dir):
-    return poll(spark, sf_dir).select("read_id", F.inline(profiles.winners()))
+    return poll(spark, sf_dir).select("read_id", F.inline("won"))
 
 
 def distinct_kmers(spark, sf_dir):
@@ -453,8 +453,7 @@ px AS (SELECT read_id, bases, unnest(range(0, length(bases))) AS p FROM reads WH
 SELECT px.read_id, string_agg(coalesce(w.b, substr(bases, p + 1, 1)), '' ORDER BY p) AS bases FROM px LEFT JOIN winners w ON w.read_id = px.read_id AND w.pos = p GROUP BY 1"""
 )
 def vote_corrected_reads(spark, sf_dir):
-    won = poll(spark, sf_dir).select("read_id", "bases", profiles.winners().alias("fixes")).where(F.size("fixes") > 0)
-    return won.select("read_id", profiles.applied("fixes").alias("bases"))
+    return poll(spark, sf_dir).where(F.size("won") > 0).select("read_id", profiles.applied("won").alias("bases"))
 
 
 @query(f"{VOTES}, {SINGLE} SELECT * FROM fixes")

@@ -48,7 +48,7 @@ def plain(bases, k, known):
 def test_profile_votes_and_fixes(case, most):
     k, rows, df, trusted, known = case
     got = {r["read_id"]: r for r in profiles.profile(df, trusted, k, most).select("*", profiles.covered(k).alias("covered"), profiles.longest().alias("long"), profiles.gaps().alias("gaps")).collect()}
-    polled = {r["read_id"]: r for r in profiles.votes(df, trusted, k, most).withColumn("top", profiles.most_votes()).withColumn("won", profiles.winners()).collect()}
+    polled = {r["read_id"]: r for r in profiles.votes(df, trusted, k, most).withColumn("top", profiles.most_votes()).collect()}
     mutated = sorted(tuple(r) for r in profiles.mutations(df, trusted, k, most).select("read_id", "pos", "o", "b", "m").collect())
     fixed = {r["read_id"]: (r["pos"], r["b"]) for r in profiles.unique_fixes(df, trusted, k, most).collect()}
     assert len(got) == len(polled) == len(rows)
