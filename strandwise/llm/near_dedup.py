@@ -10,17 +10,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import MapType, VariantType
 
-from .shared import LOWER, UPPER, WORD, components, stage, table
+from .shared import LOWER, UPPER, WORD, components, free, stage, table
 from .shingles import MinHash, mixed, overlap, shingle_set, unpacked
 
 #: 64 slots in 8 chunks: two signatures that differ in at most 15 of these agree, but for one slot, in some chunk.
 KEYED, CHUNKS, PERCENT = 64, 8, 85
-#: All slots. Candidates that differ in more than FAR aren't looked at in full; at 85 % likeness 38 slots differ, and more than FAR for three pairs in a hundred thousand.
-SLOTS, FAR = 256, 62
-TILE, ROUNDS = 512, 1
+#: All slots, and the signature-distance threshold: at 85 % likeness 38 slots differ, and more than FAR for less than one pair in 10^9.
+SLOTS, FAR = 256, 76
+#: A tile of a key holds two blocks of about TILE members, fewer if their sets are large: about WEIGHT shingles a block.
+TILE, WEIGHT, ROUNDS = 512, 1 << 20, 1
 #: What a pair at exactly the wanted likeness may be missed by: no shared key, or more than `far` slots that differ. And the most keys a text may have.
-UNKEYED, PRUNED, KEYS = 2e-4, 4e-5, 72
+UNKEYED, PRUNED, KEYS = 2e-4, 1e-9, 72
+#: A text that this many pairs need is sent to as many more places.
+FAN = 256
 
 
 def layout(percent: int) -> tuple[int, int, int]:
@@ -95,6 +100,15 @@ def within(pairs: DataFrame, classes: DataFrame, far: int = FAR, keyed: int = KE
     return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def beside(pairs: DataFrame, column: str, texts: DataFrame) -> DataFrame:
+    """pairs plus data_<column>, the text of that side; a text that many pairs need is copied to several keys, which its pairs share out by hash."""
+    other = next(c for c in ("a", "b") if c != column)
+    fans = pairs.groupBy(column).agg(F.ceil(F.count("*") / FAN).cast("int").alias("_fan"))
+    dealt = pairs.join(fans, column).withColumn("_salt", F.pmod(F.xxhash64(other), F.col("_fan")).cast("int"))
+    copies = texts.select(F.col("doc_id").alias(column), F.col("data").alias(f"data_{column}")).join(fans, column).withColumn("_salt", F.explode(F.expr("sequence(0, _fan - 1)")))
+    return dealt.drop("_fan").join(copies.drop("_fan"), [column, "_salt"]).drop("_salt")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose whole shingle sets have 100 * intersection >= percent * union."""
 
@@ -111,22 +125,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
                 keep.append(bool(both) and 100 * both >= percent * (len(own) + len(last_set) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("data").alias(f"data_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
+    return beside(beside(pairs, "a", texts), "b", texts).select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
 
 
 def open_links(members: DataFrame, classes: DataFrame, texts: DataFrame, tile: int = TILE, far: int = FAR, keyed: int = KEYED, chunks: int = CHUNKS, percent: int = PERCENT) -> DataFrame:
     """Confirmed links (a, b) that join different components in the same key; members: key, slot, doc_id, component.
 
-    A key's members are dealt into blocks by hash, and every two blocks meet in a task of their own,
-    so that the size of a task doesn't grow with the key's. Signatures give the near pairs; one that
+    A key's members are dealt into blocks by hash, of about TILE members or WEIGHT shingles, and every
+    two blocks meet in a task of their own, so that the size of a task doesn't grow with the key's. Signatures give the near pairs; one that
     shares several keys counts in the first only, which both signatures tell. Pairs stay lists inside
     their tile: the texts of those concerned join the tile, where pairs not yet connected there are
     confirmed. So no more rows leave a tile than it has members.
     """
     each = keyed // chunks
-    sizes = members.groupBy("key").agg(F.count("*").alias("_n"))
-    m = members.join(classes.select("doc_id", "sig"), "doc_id").join(sizes, "key").withColumn("_k", F.ceil(F.col("_n") / tile).cast("int"))
+    known = members.join(classes.select("doc_id", "sig", "n_shingles"), "doc_id")
+    sizes = known.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("n_shingles") / WEIGHT)).cast("int").alias("_k"))
+    m = known.drop("n_shingles").join(sizes, "key")
     m = m.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
     m = m.withColumn("_other", F.explode(F.expr("sequence(0, _k - 1)")))
     m = m.select("key", "slot", "doc_id", "component", "sig", "_own", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
@@ -194,7 +208,7 @@ def near_groups(docs: DataFrame, rounds: int = ROUNDS, percent: int = PERCENT) -
     docs = docs.select("doc_id", "text")
     keyed, chunks, far = layout(percent)
     sigs = stage(signatures(docs, keyed=keyed), "signatures")
-    classes = sigs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    classes = sigs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     classes = stage(classes, "classes")
 
     keys = chunk_keys(classes, keyed, chunks)
@@ -225,14 +239,28 @@ def near_groups(docs: DataFrame, rounds: int = ROUNDS, percent: int = PERCENT) -
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id is their group's smallest, one each; rows with a null doc_id all stay."""
+    """The rows of docs whose doc_id is their group's smallest; rows with a null doc_id all stay.
+
+    Of rows equal in doc_id and text one stays, the first by the other columns. Rows that share a
+    doc_id but not the text are one node: they stay or go together.
+    """
     groups = near_groups(docs, percent=percent)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    others = [f.name for f in docs.schema if f.name not in ("doc_id", "text") and not isinstance(f.dataType, (MapType, VariantType))]
+    place = free("_place", docs.columns)
+    first = F.row_number().over(W.partitionBy("doc_id", "text").orderBy(*(F.col(f"`{c}`") for c in others) or [F.lit(0)]))
+    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(place, first).where(F.col(place) == 1)
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of documents; links are of 85 % likeness or more.
+
+    Null, empty and wordless texts have n_shingles 0 and link with nothing; fewer words than five are
+    one shingle. Very long texts count whole. Repeated rows and rows that share a doc_id are one node,
+    and each is returned. A null doc_id links with nothing and has a null component. An empty table
+    gives no rows. Other columns aren't read.
+    """
     groups = near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 

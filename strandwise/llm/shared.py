@@ -33,15 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_strandwise"
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared folder, deleted when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends there and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unstage(df: DataFrame) -> None:
@@ -53,6 +57,14 @@ def unstage(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def free(name: str, taken) -> str:
+    """name, or name with as many underscores behind it as make it none of `taken`, whatever the case of letters."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
@@ -75,19 +87,23 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "component"])
 
 
-def components(edges: DataFrame, few: int = 100_000, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, few: int = 100_000) -> DataFrame:
     """Connected components of the undirected edges (a, b) of longs.
 
     Alternating large-star and small-star rounds join every node's neighbours to the node's smallest
-    neighbour, so that no node's neighbours are ever gathered in one place. A round's result is
-    staged. As soon as no more than `few` edges are left, one task of that bounded size finishes them.
+    neighbour. A hub's neighbours meet its smallest one in a join on the hub, one row on the other
+    side, whose skewed keys adaptive execution splits; they are never gathered in a list. A round's
+    result is staged, and rounds go on to the fixed point. As soon as no more than `few` edges are
+    left, one task of that bounded size finishes them with the same result.
     Returns (node, component) for every node that has an edge; component is the smallest node
     reachable. Rows where a = b or one is null count as no edge.
     """
+    look = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     pairs = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
-    current, sign = stage(pairs, "edges"), None
-    for _ in range(max_rounds):
-        if current.count() <= few:
+    current = stage(pairs, "edges")
+    now, before = look(current), None
+    while now != before:
+        if now[0] <= few:
             return stage(current.coalesce(1).mapInArrow(joined, "node long, component long"), "components")
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -98,11 +114,6 @@ def components(edges: DataFrame, few: int = 100_000, max_rounds: int = 60) -> Da
         after = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         old, current = current, stage(after, "edges")
         unstage(old)
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == sign:
-            break
-        sign = tuple(now)
-    else:
-        raise RuntimeError("components: no fixed point")
+        now, before = look(current), now
     stars = current.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stage(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
