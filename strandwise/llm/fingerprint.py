@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import GAP, table
+from strandwise.operators.order import numbered
+
+from .shared import GAP, free, fresh, table
 
 K, SHINGLE = 128, 5
 LAST = 2**63 - 1
@@ -26,6 +30,7 @@ def sketch(hashes: Column, k: int = K) -> Column:
 
 
 def fingerprint(text: Column, k: int = K, width: int = SHINGLE) -> Column:
+    """The sketch of a whole text; empty for null, empty and wordless texts. Equal texts have equal sketches."""
     return sketch(shingle_hashes(text, width), k)
 
 
@@ -53,8 +58,16 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), r * n / distinct_count(a, k)))
 
 
-def bucket_of(key: Column, bounds: list[int], fan: int = 32) -> Column:
-    """Number of bounds at or below key, found in levels of `fan` comparisons."""
+#: Bounds are rows (key, first characters of the tie-breaker), compared in this order.
+BOUNDS = "array<struct<k:bigint,t:string>>"
+
+
+def bounds_column(bounds: list[tuple[int, str]]) -> Column:
+    return F.from_json(F.lit(json.dumps([{"k": k, "t": t} for k, t in bounds])), BOUNDS)
+
+
+def bucket_of(row: Column, bounds: list[tuple[int, str]], fan: int = 32) -> Column:
+    """Number of bounds at or below row (k, t), found in levels of `fan` comparisons."""
     if not bounds:
         return F.lit(0)
     levels = [bounds]
@@ -62,37 +75,48 @@ def bucket_of(key: Column, bounds: list[int], fan: int = 32) -> Column:
         levels.append(levels[-1][fan - 1 :: fan])
     at = F.lit(0)
     for level in reversed(levels):
-        part = F.slice(F.lit(level), at * fan + 1, fan)
-        at = at * fan + F.size(F.filter(part, lambda x: x <= key))
+        part = F.slice(bounds_column(level), at * fan + 1, fan)
+        at = at * fan + F.size(F.filter(part, lambda x: x <= row))
     return at
 
 
-def with_next(docs: DataFrame, key: str, order: list[str], carried: list[str], per_bucket: int = 64, most: int = 16384) -> DataFrame:
+def with_next(docs: DataFrame, key: str, order: list[str], carried: list[str], per_bucket: int = 64, buckets: int = 16384, most_rows: int = 100_000) -> DataFrame:
     """Add next_<c> for each carried column: its value in the next row ascending by key (after the last: the first).
 
-    Rows with equal keys follow each other by the columns in `order`; null keys come last. Rows are
-    dealt by quantiles of the key (bounds from a scan of that column alone); the first row of a bucket
-    also goes to the bucket before, so each bucket finds all successors by itself. The driver holds
-    `most` bounds at most, whatever the number of rows.
+    Rows with equal keys follow each other by the columns in `order`; null keys come last. Keys alone
+    are sorted first, in ranges that are written; every so many rows one is a bound: `per_bucket`,
+    more so that there are about `buckets`, but never more than `most_rows`, so that beyond that the
+    buckets grow in number with the rows and not in size. A bound is the key and the first 64
+    characters of the first column of `order`, so rows without key, or with one key, are split too.
+    The rows are then dealt to buckets; the first of a bucket also goes to the bucket before, so each
+    bucket finds all successors by itself. The driver holds the bounds, a hundred-thousandth of the rows.
+    An empty table has no next rows.
     """
-    keyed = docs.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(LAST)))
-    n = docs.count()
-    parts = max(1, min(most, n // per_bucket))
-    quantiles = docs.select(F.col(key).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    bounds = sorted({int(x) for x in quantiles})
-    firsts = sorted(r[0] for r in keyed.groupBy(bucket_of(F.col("_key"), bounds).alias("b")).agg(F.min("_key")).select("min(_key)").collect())
-    firsts = [x for i, x in enumerate(firsts) if i == 0 or x != firsts[i - 1]]
-    bounds = firsts[1:]
-    bucket = bucket_of(F.col("_key"), bounds)
-    # the row at a bucket's start is a bound itself, so that bucket - 1 is the bucket before; -1 wraps round
-    start = F.col("_key").isin(firsts) if len(firsts) < 200 else F.array_contains(F.slice(F.lit(firsts), F.col("_b") + 1, 1), F.col("_key"))
-    both = keyed.withColumn("_b", bucket).withColumn("_to", F.when(start, F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("x")), F.struct(F.pmod(F.col("_b") - 1, F.lit(max(1, len(firsts)))).alias("b"), F.lit(1).alias("x")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("x")))))
-    dealt = both.drop("_b").withColumn("_at", F.explode("_to")).withColumns({"_b": F.col("_at.b"), "_x": F.col("_at.x")}).drop("_to", "_at")
-    after = W.partitionBy("_b").orderBy("_x", "_key", *order)
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(after) for c in carried}).where("_x = 0").drop("_b", "_x", "_key")
+    names = docs.columns
+    k, t, b, to, at, x = (free(c, names) for c in ("_key", "_tie", "_bucket", "_to", "_at", "_copy"))
+    tie = F.coalesce(F.substr(F.col(order[0]).cast("string"), F.lit(1), F.lit(64)), F.lit("")) if order else F.lit("")
+    keyed = docs.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(LAST)), t: tie})
+    sorted_keys = numbered(keyed.select(F.col(k).alias("k"), F.col(t).alias("t")), ["k", "t"], fresh(docs.sparkSession, "keys"))
+    n = sorted_keys.count()
+    every = max(per_bucket, min(-(-n // buckets), most_rows))
+    firsts = sorted({(r["k"], r["t"]) for r in sorted_keys.where(F.col("ordinal") % every == 0).select("k", "t").collect()})
+    row = F.struct(F.col(k).alias("k"), F.col(t).alias("t"))
+    start = F.get(bounds_column(firsts), F.col(b)) == row
+    here = F.struct(F.col(b).alias("b"), F.lit(0).alias("x"))
+    before = F.struct(F.pmod(F.col(b) - 1, F.lit(max(1, len(firsts)))).alias("b"), F.lit(1).alias("x"))
+    dealt = keyed.withColumn(b, bucket_of(row, firsts[1:])).withColumn(to, F.when(start, F.array(here, before)).otherwise(F.array(here)))
+    dealt = dealt.drop(b, t).withColumn(at, F.explode(to)).withColumns({b: F.col(at)["b"], x: F.col(at)["x"]}).drop(to, at)
+    after = W.partitionBy(b).orderBy(x, k, *order)
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(after) for c in carried}).where(F.col(x) == 0).drop(b, x, k)
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of documents.
+
+    Null texts are empty; two texts without words are fully alike. Very long texts count whole. Rows
+    with one doc_id follow each other by text, rows without come last; repeated rows are rows of their
+    own. The only row of a table is its own next. An empty table gives no rows. Other columns aren't read.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("fp", fingerprint(F.col("text")))
     near = with_next(docs, "doc_id", ["text"], ["text", "fp"])
