@@ -57,11 +57,19 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFram
     fits = expressions.join(r, F.col("short") == F.col("r_short")).where((F.col("digest") == F.col("r_digest")) & F.startswith("path", "r_path"))
     rule = F.concat("r_host", "r_path")
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), F.col("verdict"), rule.alias("rule"))).alias("_best"))
-    judged = urls.join(best, ["host", "path"], "left")
+    # addresses without host fit no rule: they don't meet in a join on one empty key
+    told = F.coalesce(F.col("host") != "", F.lit(False))
+    judged = urls.where(told).join(best, ["host", "path"], "left").unionByName(urls.where(~told).withColumn("_best", F.lit(None).cast(best.schema["_best"].dataType)))
     return judged.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict for every row of pages; where no rule fits, null and allow.
+
+    A null url, or one without "://", has an empty host and path and fits no rule. Very long urls are
+    expanded no further than the rules reach. Repeated rows and null page_ids are judged like any. An
+    empty table gives no rows. Other columns aren't read.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     return judge(pages, rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
 
