@@ -1,4 +1,9 @@
-"""Toxicity: a two-state linear-chain conditional random field over words, marginals summed up per document."""
+"""Toxicity: a two-state linear-chain conditional random field over words, marginals summed up per document.
+
+Documents are labelled, tokens aren't: a clean document's tokens are all labelled 0, a toxic one's
+have at least one 1. The field is taught by the likelihood of these constraints, which forward and
+backward passes give exactly.
+"""
 
 from __future__ import annotations
 
@@ -16,10 +21,22 @@ from .shared import table
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, SAMPLE = 1 << 22, 8000
+#: Beginnings and endings of words that are features beside the word itself, by their numbers of letters.
+STARTS, ENDS = (4, 5, 6), (4, 5)
+WIDTH = 1 + len(STARTS) + len(ENDS)
+#: Features that fewer documents have don't count; sequences are taught in segments of so many words; steps, decay of weights, learning rate.
+LEAST, SEGMENT, STEPS, DECAY, RATE = 3, 128, 60, 3e-4, 0.1
+
 
+def bucket(name: str) -> int:
+    return xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")) % BUCKETS
 
-def bucket(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")) % BUCKETS
+
+def features(word: str) -> list[int]:
+    """WIDTH buckets: the word in small letters, its beginnings and endings; -1 where the word is no longer than these."""
+    w = word.lower()
+    parts = ["w" + w] + ["s" + w[:n] if len(w) > n else "" for n in STARTS] + ["e" + w[-n:] if len(w) > n else "" for n in ENDS]
+    return [bucket(x) if x else -1 for x in parts]
 
 
 class Lookup(dict):
@@ -100,14 +117,14 @@ def summary(p: np.ndarray) -> tuple[float, float, float]:
 
 
 class Tagger:
-    """Weights of words, transitions, and the logistic step from a document's marginals to its score."""
+    """Weights of features, transitions, and the logistic step from a document's marginals to its score."""
 
     def __init__(self, buckets, weights, bias, transitions, calibration):
         self.weights = dict(zip(map(int, buckets), map(float, weights)))
         self.bias, self.transitions, self.calibration = float(bias), np.asarray(transitions, float), np.asarray(calibration, float)
 
     def score_of(self, word: str) -> float:
-        return self.weights.get(bucket(word), 0.0) + self.bias
+        return sum(self.weights.get(f, 0.0) for f in features(word)) + self.bias
 
     def document_score(self, p: np.ndarray) -> float:
         return float(sigmoid(self.calibration @ np.array([1.0, *summary(p)])))
@@ -137,86 +154,113 @@ def without_copies(docs: list[np.ndarray], bands: int = 8, rows: int = 3, least:
     return out
 
 
-def token_labels(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets of the words that mark toxic documents, found from document labels.
+class Constrained:
+    """Likelihood of document labels and its slopes, for tokens in segments laid out by layout().
+
+    owner: the document of each segment; y: 1 for documents with at least one toxic token, else 0.
+    Segments of a document are sequences of their own, so P(no toxic token) is a product over them.
+    """
+
+    def __init__(self, lengths: np.ndarray, owner: np.ndarray, y: np.ndarray):
+        self.order, self.first, self.alive = layout(lengths)
+        self.y, self.docs = y, len(y)
+        later = range(1, len(self.alive))
+        none = [np.empty(0, np.int64)]
+        self.ahead = np.concatenate([np.arange(self.first[k], self.first[k] + self.alive[k]) for k in later] or none)
+        self.back = np.concatenate([np.arange(self.first[k - 1], self.first[k - 1] + self.alive[k]) for k in later] or none)
+        self.owner = np.concatenate([owner[self.order[:n]] for n in self.alive] or none)
+
+    def places(self) -> list[np.ndarray]:
+        """Where the tokens of each segment stand, in the segments' own order."""
+        starts, out = self.first, [None] * len(self.order)
+        deep = np.searchsorted(-self.alive, -np.arange(1, len(self.order) + 1), "right")  # tokens of the segment of that rank
+        for rank, i in enumerate(self.order):
+            out[i] = starts[: deep[rank]] + rank
+        return out
 
-    A word counts if the share of toxic documents that hold it is at least e^2 times that of the
-    others, and its log likelihood ratio is beyond what the most extreme of so many words would show
-    by chance. Tokens of toxic documents with such a word are labelled 1.
+    def __call__(self, score: np.ndarray, t: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log likelihood of each document's label, slope of -weight * log likelihood by each token's score, and by the transitions).
+
+        Of a toxic document, expectations given at least one toxic token are those without condition
+        less what all-clean adds, over P(at least one).
+        """
+        f, b = log_ratios(score, self.first, self.alive, t)
+        p = sigmoid(f + b)
+        n = self.alive[0] if len(self.alive) else 0
+        step = np.empty_like(score)  # log P(token clean | those before it clean)
+        step[:n] = -np.logaddexp(0, score[:n] + b[:n])
+        step[self.ahead] = -np.logaddexp(0, t[0, 1] - t[0, 0] + score[self.ahead] + b[self.ahead])
+        clean = np.minimum(np.bincount(self.owner, step, self.docs), -1e-9)
+        p0 = np.exp(clean)
+        some = -np.expm1(clean)
+        odds = p0 / some
+        by_doc = np.where(self.y == 1, -odds, 1.0) * weight
+        slope = p * by_doc[self.owner]
+        left, right = f[self.back], score[self.ahead] + b[self.ahead]
+        joint = np.stack([np.zeros_like(left) + t[0, 0], right + t[0, 1], left + t[1, 0], left + right + t[1, 1]])
+        joint = np.exp(joint - joint.max(0, initial=-np.inf))
+        joint /= joint.sum(0)
+        whose = self.owner[self.ahead]
+        pairs = (joint * by_doc[whose]).sum(1)
+        pairs[0] += (np.where(self.y == 1, odds, -1.0) * weight)[whose].sum()
+        return np.where(self.y == 1, np.log(some), clean), slope, pairs.reshape(2, 2)
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, steps: int = STEPS) -> Tagger:
+    """Maximise the likelihood of the document labels, toxic and clean ones of equal weight in sum; then fit the document step.
+
+    docs: (which word each token is, the words' 64-bit hashes, the words' features) of each document.
+    Near copies count once. Adam over the whole sample; the words' features are summed up once a step
+    for each different word.
     """
-    toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for d, label in zip(docs, y):
-        (toxic if label else clean)[np.unique(d)] += 1
-    words = np.flatnonzero(toxic + clean)
-    a, b, n, m = toxic[words], clean[words], y.sum(), (1 - y).sum()
-    share = (a + b) / (n + m)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.where(a > 0, a * np.log(a / (n * share)), 0) + np.where(b > 0, b * np.log(b / (m * share)), 0))
-        odds = np.log((a + 0.1) / (n + 1)) - np.log((b + 0.1) / (m + 1))
-    return words[(odds >= 2) & (ratio >= 2 * np.log(max(2, len(words))) + 4)]
-
-
-def fit(docs: list[np.ndarray], y: np.ndarray, rounds: int = 30, rate: float = 0.5, most: int = 512) -> Tagger:
-    """Maximise the conditional likelihood of the token labels, then fit the document step on the document labels."""
     if not len(docs) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)  # nothing to tell apart: every document gets the labels' share
         return Tagger([], [], -4.0, np.zeros((2, 2)), [np.log(share / (1 - share)), 0, 0, 0])
-    alone = without_copies(docs)
+    alone = without_copies([d[1].view(np.uint64) >> np.uint64(32) for d in docs])
     docs, y = [docs[i] for i in alone], y[alone]
-    if y.min() == y.max():
+    if not len(docs) or y.min() == y.max():
         return fit([], y)
-    marks = token_labels(docs, y)
-    table = np.zeros(BUCKETS, bool)
-    table[marks] = True
-    tags = [(table[d] & bool(label)).astype(float) for d, label in zip(docs, y)]
-    seen, inverse = np.unique(np.concatenate(docs), return_inverse=True)
-    starts = np.cumsum([0, *map(len, docs)])
-    index = [inverse[a:b] for a, b in zip(starts, starts[1:])]
-    w, bias, t = np.zeros(len(seen)), -3.0, np.zeros((2, 2))
-    power, p_bias, p_t = np.full(len(seen), 1e-2), 1e-2, np.full((2, 2), 1e-2)
-    rng, batch = np.random.default_rng(7), min(most, max(16, len(docs) // 12))
-    for _ in range(rounds):
-        deal = rng.permutation(len(docs))
-        for at in range(0, len(docs), batch):
-            own = [i for i in deal[at : at + batch] if len(index[i])]
-            if not own:
-                continue
-            lengths = np.array([len(index[i]) for i in own])
-            order, first, alive = layout(lengths)
-            ids, gold = np.empty(int(first[-1]), np.int64), np.empty(int(first[-1]))
-            for rank, k in enumerate(order):
-                place = first[: lengths[k]] + rank
-                ids[place], gold[place] = index[own[k]], tags[own[k]]
-            score = w[ids] + bias
-            f, b = log_ratios(score, first, alive, t)
-            slope = sigmoid(f + b) - gold
-            pair, real = np.zeros((2, 2)), np.zeros((2, 2))
-            ahead = np.concatenate([np.arange(first[k], first[k] + alive[k]) for k in range(1, len(alive))] or [np.empty(0, np.int64)])
-            back = np.concatenate([np.arange(first[k - 1], first[k - 1] + alive[k]) for k in range(1, len(alive))] or [np.empty(0, np.int64)])
-            if len(ahead):
-                left, right = f[back], score[ahead] + b[ahead]
-                joint = np.stack([np.zeros_like(left) + t[0, 0], right + t[0, 1], left + t[1, 0], left + right + t[1, 1]])
-                joint = np.exp(joint - joint.max(0))
-                pair = (joint / joint.sum(0)).sum(1).reshape(2, 2)
-                real = np.bincount((gold[back] * 2 + gold[ahead]).astype(int), minlength=4).reshape(2, 2)
-            scale = 1 / len(own)
-            g = np.bincount(ids, slope, len(w)) * scale + 1e-5 * w
-            power += g * g
-            w -= rate * g / np.sqrt(power)
-            g = slope.sum() * scale
-            p_bias += g * g
-            bias -= 0.1 * rate * g / np.sqrt(p_bias)
-            g = (pair - real) * scale + 1e-4 * t
-            p_t += g * g
-            t -= 0.1 * rate * g / np.sqrt(p_t)
-    kept = np.abs(w) > 0.05
-    tagger = Tagger(seen[kept], w[kept], bias, t, np.zeros(4))
-    x = np.array([(1.0, *summary(p)) for p in marginals([np.where(kept[i], w[i], 0) + bias for i in index], t)])
+    _, rows, inverse = np.unique(np.concatenate([d[1] for d in docs]), return_index=True, return_inverse=True)
+    word_features = np.concatenate([d[2] for d in docs])[rows]
+    starts = np.cumsum([0, *(len(d[1]) for d in docs)])
+    own = [inverse[a:b] for a, b in zip(starts, starts[1:])]
+    ids = [o[d[0]] for o, d in zip(own, docs)]
+
+    known, column = np.unique(word_features, return_inverse=True)
+    column = column.reshape(word_features.shape)
+    seen = np.zeros(len(known), np.int64)
+    for o in own:
+        seen[np.unique(column[o])] += 1
+    used = (seen >= LEAST) & (known >= 0)
+    row, slot = np.nonzero(used[column])
+    column = column[row, slot]
+
+    segments = [(i, d[a : a + SEGMENT]) for i, d in enumerate(ids) for a in range(0, len(d), SEGMENT)]
+    constrained = Constrained(np.array([len(x) for _, x in segments]), np.array([i for i, _ in segments]), y)
+    tokens = np.empty(sum(len(x) for _, x in segments), np.int64)
+    for place, (_, x) in zip(constrained.places(), segments):
+        tokens[place] = x
+
+    n, share = len(known), y.mean()
+    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+    theta = np.concatenate([np.zeros(n), [-4.0], np.zeros(4)])
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, steps + 1):
+        score = np.bincount(row, theta[column], len(rows))[tokens] + theta[n]
+        _, slope, pairs = constrained(score, theta[n + 1 :].reshape(2, 2), weight)
+        by_word = np.bincount(tokens, slope, len(rows))
+        g = np.concatenate([np.bincount(column, by_word[row], n), [slope.sum()], pairs.ravel()]) / len(y)
+        g[:n] += DECAY * theta[:n]
+        g[n + 1 :] += 1e-3 * theta[n + 1 :]
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    w, bias, t = theta[:n], theta[n], theta[n + 1 :].reshape(2, 2)
+    tagger = Tagger(known[used], w[used], bias, t, np.zeros(4))
+    by_word = np.bincount(row, w[column], len(rows)) + bias
+    x = np.array([(1.0, *summary(p)) for p in marginals([by_word[d] for d in ids], t)])
     mean, spread = x[:, 1:].mean(0), x[:, 1:].std(0) + 1e-6
     z = np.concatenate([x[:, :1], (x[:, 1:] - mean) / spread], 1)
     c = np.zeros(4)
-    share = y.mean()
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     for _ in range(50):
         p = sigmoid(z @ c)
         h = (z * (weight * p * (1 - p))[:, None]).T @ z / len(y) + 1e-3 * np.eye(4)
@@ -225,23 +269,37 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rounds: int = 30, rate: float = 0
     return tagger
 
 
+def encoded(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text for fit(): which of its different words each word is, these words' 64-bit hashes, and their features."""
+    place: dict[str, int] = {}
+    index = np.array([place.setdefault(w.lower(), len(place)) for w in WORD.findall(text)], "<i4")
+    hashes = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in place], "<u8").view("<i8")
+    return index, hashes, np.array([features(w) for w in place], "<i4").reshape(len(place), WIDTH)
+
+
 def trained(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Tagger:
-    """A tagger from at most `most` labelled rows outside the held-out fold; only hashed words of these reach the driver."""
+    """A tagger from at most `most` labelled rows outside the held-out fold; only hashed words of these reach the driver.
+
+    Null and empty texts have no words and teach nothing; repeated rows and near copies count once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.array([bucket(w) for w in WORD.findall((x.as_py() or b"").decode("utf-8", "replace"))], "<i4").tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(2)], ["doc_id", "ids", "y"])
+            parts = [encoded((x.as_py() or b"").decode("utf-8", "replace")) for x in batch.column(1)]
+            columns = [pa.array([p[i].tobytes() for p in parts], pa.binary()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], ["doc_id", "tokens", "words", "features", "y"])
 
     chosen = sample(docs, labels.where("toxic in (0, 1)"), "toxic", most).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("y", F.col("y").cast("int"))
-    rows = sorted(chosen.mapInArrow(run, "doc_id long, ids binary, y int").collect())
-    return fit([np.frombuffer(bytes(r["ids"]), "<i4").astype(np.int64) for r in rows], np.array([r["y"] for r in rows], float))
+    rows = sorted(chosen.mapInArrow(run, "doc_id long, tokens binary, words binary, features binary, y int").collect())
+    read = lambda x, kind: np.frombuffer(bytes(x), kind)
+    return fit([(read(r["tokens"], "<i4"), read(r["words"], "<i8"), read(r["features"], "<i4").reshape(-1, WIDTH)) for r in rows], np.array([r["y"] for r in rows], float))
 
 
 def tag(docs: DataFrame, tagger: Tagger, threshold: float = 0.5, together: int = 2048) -> DataFrame:
     """The columns of docs but text, then score and spans (start, end, p): words with a marginal of `threshold` or more.
 
-    Offsets are code points of the whole text. A null or empty text has no words: no span and the
+    Every row is tagged, repeated ones alike; a word at exactly the threshold is in. An empty table
+    gives no rows. Offsets are code points of the whole text. A null or empty text has no words: no span and the
     score of a document without toxic words. score and spans replace columns of these names.
     """
     others = [c for c in docs.columns if c not in ("text", "score", "spans")]
@@ -268,6 +326,13 @@ def tag(docs: DataFrame, tagger: Tagger, threshold: float = 0.5, together: int =
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_spans for every row of documents.
+
+    Null, empty and wordless texts have no span and the score of a document without toxic words. Very
+    long texts are tagged whole. Repeated rows get the same score; a null doc_id isn't held out. Without
+    labels, or with one value of them, every score is the labels' share. An empty table gives no rows.
+    Other columns aren't read.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = tag(docs, trained(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
