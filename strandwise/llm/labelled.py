@@ -16,7 +16,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
-    """(doc_id, text binary, y) of at most `most` labelled rows that may teach, spread evenly over the values of the label.
+    """(doc_id, data, y, weight) of at most `most` labelled rows that may teach, spread evenly over the values of the label.
+
+    data is the text as bytes; weight is how many labelled rows of its value a row stands for.
 
     Which rows is decided by a hash of doc_id, so reruns agree. A doc_id with several labels has the
     largest; fractions stay. Beyond GRADES values, y is the mean of a bin of values next to each other,
@@ -38,6 +40,8 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFr
     for value, top in few:
         chosen = chosen.where((F.col("y") != value) | (F.col("_order") <= top))
     rank = F.row_number().over(Window.partitionBy("y").orderBy("_order", "doc_id"))
-    chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= each).select("doc_id", "y")
+    stands = [x for r in sizes for x in (F.lit(float(r["y"])), F.lit(max(1.0, r["n"] / each)))]
+    weight = F.element_at(F.create_map(*stands), F.col("y")) if stands else F.lit(1.0)
+    chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= each).select("doc_id", "y", weight.alias("weight"))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("data"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "data", "y")
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "data", "y", "weight")

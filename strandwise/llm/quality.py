@@ -73,9 +73,11 @@ class Model:
         return sigmoid(np.asarray(score)[:, None] - self.cuts[None, :])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 1e-6) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 1e-6, weight: np.ndarray | None = None) -> Model:
     """Maximum likelihood of the cumulative logit model by Adam; rows are (buckets, values) of each document.
 
+    weight: how many rows each one stands for (all the same, if not given).
+
     The cuts are the first one plus running sums of exponentials, hence always in order.
     """
     grades = sorted(set(y.tolist()))
@@ -86,7 +88,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 3
     value = np.concatenate([r[1] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     k = len(grades) - 1
-    share = np.clip([(rank > i).mean() for i in range(k)], 1e-3, 1 - 1e-3)
+    mass = np.ones(len(rows)) if weight is None else np.asarray(weight, float)
+    mass = mass / mass.sum()
+    share = np.clip([mass[rank > i].sum() for i in range(k)], 1e-3, 1 - 1e-3)
     start = np.log((1 - share) / share)
     theta = np.concatenate([np.zeros(len(ids)), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -98,10 +102,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 3
         above = np.concatenate([np.ones((len(rows), 1)), sigmoid(score[:, None] - cuts[None, :]), np.zeros((len(rows), 1))], 1)
         slope = above * (1 - above)
         p = np.maximum(above[every, rank] - above[every, rank + 1], 1e-12)
-        by_score = -(slope[every, rank] - slope[every, rank + 1]) / p / len(rows)
+        by_score = -(slope[every, rank] - slope[every, rank + 1]) / p * mass
         by_cut = np.zeros(k + 2)
-        np.add.at(by_cut, rank, slope[every, rank] / p / len(rows))
-        np.add.at(by_cut, rank + 1, -slope[every, rank + 1] / p / len(rows))
+        np.add.at(by_cut, rank, slope[every, rank] / p * mass)
+        np.add.at(by_cut, rank + 1, -slope[every, rank + 1] / p * mass)
         by_cut = by_cut[1:-1]
         g = np.concatenate([np.bincount(index, by_score[row] * value, len(ids)) + decay * w, [by_cut.sum()], np.cumsum(by_cut[::-1])[::-1][1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -123,18 +127,22 @@ def vector(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trained(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> Model:
-    """A model from at most `most` labelled rows outside the held-out fold; the driver gets their hashed features."""
+    """A model from at most `most` labelled rows outside the held-out fold; the driver gets their hashed features.
+
+    The sample is even over the grades; each row weighs as many rows as it stands for, so that
+    probabilities are those of the labelled rows and not of the sample.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [vector(x.as_py() or b"") for x in batch.column(1)]
             columns = [pa.array([a.astype("<i4").tobytes() for a, _ in both], pa.binary()), pa.array([b.astype("<f4").tobytes() for _, b in both], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], ["doc_id", "ids", "values", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2), batch.column(3)], ["doc_id", "ids", "values", "y", "weight"])
 
     chosen = sample(docs, labels, column, most).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = sorted(chosen.mapInArrow(run, "doc_id long, ids binary, values binary, y double").collect())
+    rows = sorted(chosen.mapInArrow(run, "doc_id long, ids binary, values binary, y double, weight double").collect())
     vectors = [(np.frombuffer(bytes(r["ids"]), "<i4").astype(np.int64), np.frombuffer(bytes(r["values"]), "<f4").astype(float)) for r in rows]
-    return fit(vectors, np.array([r["y"] for r in rows]))
+    return fit(vectors, np.array([r["y"] for r in rows]), weight=np.array([r["weight"] for r in rows]))
 
 
 class Scorer:
@@ -158,7 +166,7 @@ class Scorer:
 def grade(docs: DataFrame, model: Model) -> DataFrame:
     """docs plus expected_grade and tails (for each grade but the lowest, the probability of it or better).
 
-    These replace columns of the same names. Null text counts as empty: no words, only the figures of
+    These replace columns of the same names; every row, repeated ones too, has its own. Null text counts as empty: no words, only the figures of
     an empty text.
     """
     docs = docs.drop("expected_grade", "tails")
@@ -193,6 +201,13 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, expected_grade, p_above_lowest, kept for every row of documents.
+
+    Null, empty and wordless texts are graded by the figures of an empty text. Very long texts, and
+    words of any length, count whole. Repeated rows get the same grade; a null doc_id isn't held out; a
+    probability of exactly one half is kept. Without labels, or with one grade, every row is kept. An
+    empty table gives no rows. Other columns aren't read.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = grade(docs, trained(docs, table(spark, sf_dir, "labels")))
     tail = F.coalesce(F.get("tails", F.lit(0)), F.lit(1.0))
