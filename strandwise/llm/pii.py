@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import stage, table
+from .shared import free, stage, table
 
 #: Kinds with a fixed definition, in order; their matches always count.
 BASE = ("email", "ip", "card", "phone")
@@ -23,7 +24,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-EMAIL_WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?(?:\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]{1,63}+\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z]{2,24}")
+EMAIL_WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?(?:\(at\)|\[at\]|\sat\s)\s?[A-Za-z0-9-]++\s?(?:\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z]{2,}+")
 PHONE_LOCAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
 #: A body of any length: parts joined by dots, one of 16 characters or more, and padding. What is left of "=" in name=value is none.
 SECRET = re.compile(r"(?<=[=:])\s{0,3}[\"']?(?=[A-Za-z0-9+/_.-]*?[A-Za-z0-9+/_-]{16})([A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+(?:=++(?![A-Za-z0-9+/_-]))?+)(?!=)")
@@ -208,7 +209,8 @@ def accepted(found: DataFrame, threshold: float = 0.5) -> list[int]:
 def detect(docs: DataFrame) -> DataFrame:
     """docs without text plus spans: array of (kind index, start, end, pattern), by kind and start.
 
-    Offsets are code points, ends exclusive. Null text is empty. Matches of the fixed kinds all stay;
+    Offsets are code points, ends exclusive. Null text is empty; repeated rows are rows of their own;
+    an empty table gives none. Matches of the fixed kinds all stay;
     spans of the added kinds stay if the classifier gives them one half or more.
     """
     found = stage(candidates(docs), "candidates")
@@ -218,31 +220,48 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span in text replaced by its kind in angle brackets, and n_chars as it is then."""
-    keep = frozenset(accepted(candidates(docs.select("doc_id", "text"))))
-    at = docs.columns.index("text")
+    """docs with every span in text replaced by its kind in angle brackets, and n_chars as it is then.
+
+    Texts are searched once: the rows are staged with their candidates, which teach the classifier
+    and are then replaced where it accepts them. Spans that overlap an earlier one go with it. Null
+    texts stay null, repeated rows are treated alike, and columns of any name stay as they are.
+    """
+    columns = docs.columns
+    spans, body, found_as = free("_spans", columns), docs.columns.index("text"), free("_row", columns)
+    fields = docs.schema.fields
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias(found_as), "text")
+    found = stage(candidates(whole), "candidates")
+    keep = accepted(found)
+    good = F.filter("found", lambda s: (s["kind"] < len(BASE)) | (s["pattern"].isin(keep) if keep else F.lit(False)))
+    ordered = F.array_sort(F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    rows = found.select(*(F.col(f"`{found_as}`.`{c}`").alias(c) for c in columns), ordered.alias(spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value in batch.column(at):
-                text = value.as_py()
-                spans = base_spans(text or "")
-                spans += [x for x in added_candidates(text or "", spans) if features(text, *x) in keep]
-                end, parts = 0, []
-                for s, e, k in sorted((s, e, k) for k, s, e in spans):
+            for value, marked in zip(batch.column(body), batch.column(len(columns)).to_pylist()):
+                text, end, parts = value.as_py(), 0, []
+                for span in marked:
+                    s, e = span["start"], span["end"]
                     if e > end:
-                        parts += [text[end:s], f"<{KINDS[k]}>"] if s >= end else []
+                        parts += [text[end:s], f"<{KINDS[span['kind']]}>"] if s >= end else []
                         end = e
-                out.append("".join([*parts, text[end:]]) if spans else text)
-            columns = list(batch.columns)
-            columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+                out.append("".join([*parts, text[end:]]) if marked else text)
+            kept = list(batch.columns[:-1])
+            kept[body] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(kept, columns)
 
-    return docs.mapInArrow(run, docs.schema).withColumn("n_chars", F.char_length("text").cast("long"))
+    redacted = rows.mapInArrow(run, StructType(fields))
+    return redacted.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of documents.
+
+    Null and empty texts have no spans. Very long texts, and secrets of any length, are searched whole.
+    Repeated rows and null doc_ids are rows of their own; an added span never overlaps another. An
+    empty table gives no rows. Other columns aren't read.
+    """
     spans = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = F.array(*map(F.lit, KINDS))
     shown = lambda x: F.concat_ws(",", F.transform(x, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])))
