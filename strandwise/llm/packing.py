@@ -34,9 +34,13 @@ class Encoder:
     The tokenizer splits at white space first, so a run of other characters always has the same ids.
     In texts of plain characters (ASCII, Latin-1 letters: those that the normaliser only lower-cases)
     the pieces of a run go to the library's model directly, and the ids of pieces and runs are
-    remembered; other texts go through the library whole.
+    remembered; other texts go through the library whole. That a vocabulary is of this kind is tried
+    at the start, on PROBES and on every pair of plain characters; if any id differs, all its texts go
+    through the library whole.
     """
 
+    PROBES = ["It's we'll I'm they've you'd he'd we're 'tis rock'n'roll O'Neill's", "a1b22 3.14 10'000 x_y-z e.g. (a) [b] {c} #1 $2 50%", "Éàü ÑANDÚ straße ÀÉÎ öÖ x×y ÷", " lead  two\ttab\n\nlines \r\n end ", "supercalifragilisticexpialidocious ANTIDISESTABLISHMENT", "!!! ... --- ;;; a--b c,,d", ""]
+
     PLAIN = re.compile(r"[\n\r\t -~À-ÖØ-öø-ÿ]*")
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
     #: Byte-level vocabularies write a byte as the Latin-1 character, or, where that isn't printable, one from 256 on.
@@ -52,6 +56,10 @@ class Encoder:
         self.model = self.tokenizer.model
         self.runs: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.direct = True
+        plain = "".join(map(chr, [9, 10, 13, *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+        pairs = [" ".join(x + y for y in plain if "<|" != x + y) for x in plain]
+        self.direct = all(a == self.whole(x) for probes in (self.PROBES, pairs) for x, a in zip(probes, self.batch(probes)))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -75,7 +83,7 @@ class Encoder:
         for known in (self.runs, self.pieces):
             if len(known) > self.most:
                 known.clear()
-        plain = [x is not None and "<|" not in x and self.PLAIN.fullmatch(x) is not None for x in texts]
+        plain = [self.direct and x is not None and "<|" not in x and self.PLAIN.fullmatch(x) is not None for x in texts]
         runs = [x.lower().split() if p else () for x, p in zip(texts, plain)]
         if new := set().union(*runs).difference(self.runs):
             self.learn(list(new))
@@ -93,7 +101,8 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, path: str | None = None, kee
     """Every document's ids and the id `end`, cut into pieces of at most `length`.
 
     Returns the other columns of docs (but those that have one of these names), then piece, start, length, ids_crc32 and, with keep_ids, ids
-    (little-endian unsigned 32-bit). Null text is empty: one piece, of the id `end` alone.
+    (little-endian unsigned 32-bit). Null text is empty: one piece, of the id `end` alone. Repeated rows
+    are documents of their own; an empty table has no pieces.
     """
     path = path or vocabulary_path()
     others = [c for c in docs.columns if c not in ("text", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")]
@@ -169,6 +178,8 @@ def packed(cut: DataFrame, length: int = SEQUENCE, key: tuple[str, ...] = ("doc_
     """Add sequence_id and offset to (staged) pieces.
 
     Only the histogram of lengths, at most `length` rows, and the plan made from it are on the driver.
+    The plan, which is broadcast, has a row for each place of a length in a group of sequences filled
+    alike: fewer than length squared, whatever the number of pieces, and in practice a few thousand.
     Ranks within a length: a prefix sum within hashed buckets plus one over the buckets, so that a
     length which a third of all pieces have is still spread.
     """
@@ -205,5 +216,11 @@ def packed(cut: DataFrame, length: int = SEQUENCE, key: tuple[str, ...] = ("doc_
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of documents.
+
+    Null and empty texts are one piece, of the id 0 alone. Very long texts are cut, none is left out.
+    Repeated rows and null doc_ids are documents of their own. An empty table gives no rows. Other
+    columns aren't read.
+    """
     cut = stage(pieces(table(spark, sf_dir, "documents").select("doc_id", "text")), "pieces")
     return packed(cut)
