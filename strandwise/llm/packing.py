@@ -46,7 +46,7 @@ class Encoder:
     #: Byte-level vocabularies write a byte as the Latin-1 character, or, where that isn't printable, one from 256 on.
     SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

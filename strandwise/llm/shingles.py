@@ -13,7 +13,7 @@ FACTORS = np.array([xxhash.xxh3_64_intdigest(b"shingle%d" % i) | 1 for i in rang
 class Hashes(dict):
     """word -> 64-bit hash, forgotten when there are too many words."""
 
-    most = 300_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
