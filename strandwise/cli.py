@@ -9,6 +9,7 @@ import os
 from pyspark.sql import SparkSession
 
 from strandwise import config
+from strandwise.session import configured
 from strandwise.plans import pipeline
 from strandwise.sources.merge import merge
 
@@ -37,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("strandwise").getOrCreate()
+    spark = configured(SparkSession.builder.appName("strandwise")).getOrCreate()
     if args.command == "merge":
         print(merge(spark, args.input, args.output, args.delete, args.replication), "parts")
         return 0

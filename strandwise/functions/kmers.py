@@ -108,3 +108,66 @@ def window_positions(bases: Column | str, k: int) -> Column:
 
 def fastq_text(name: Column | str, bases: Column | str, quals: Column | str) -> Column:
     return F.concat(col(name), F.lit("\n"), col(bases), F.lit("\n+\n"), col(quals))
+
+
+def leads(kmer: Column | str) -> Column:
+    """Whether a k-mer comes before its reverse complement, compared by groups of four bases, in each of which the last base weighs most."""
+    groups = lambda x: F.concat_ws("", F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 4).cast("int")), lambda g: F.reverse(F.rpad(F.substr(x, g * 4 + 1, F.lit(4)), 4, "A"))))
+    return groups(col(kmer)) < groups(revcomp(kmer))
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once however often use() names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def mixed(value: Column | str) -> Column:
+    """The 64-bit finaliser of MurmurHash3: xor-shifts and two multiplications that wrap around."""
+    # fixed values: the shift and the factors of the published finaliser
+    shift, first, second = 33, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+    fold = lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, shift))
+    x = once(once(col(value).cast("bigint"), fold), lambda x: _times(x, first))
+    return once(once(once(x, fold), lambda y: _times(y, second)), fold)
+
+
+def _times(x: Column, factor: int) -> Column:
+    """x * factor modulo 2^64, in decimals, since a product that wraps raises in ANSI mode."""
+    low, high = factor & 0xFFFFFFFF, factor >> 32
+    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    a, b = x.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")).cast("decimal(10,0)"), F.shiftrightunsigned(x, 32).cast("decimal(10,0)")
+    part = lambda y, c: y * F.lit(str(c)).cast("decimal(10,0)")
+    upper = ((part(a, high) + part(b, low)) % number(1 << 32)).cast("decimal(10,0)") * F.lit(str(1 << 32)).cast("decimal(10,0)")
+    total = (part(a, low) + upper) % F.lit(str(1 << 64)).cast("decimal(21,0)")
+    return once(total.cast("decimal(21,0)"), _signed)
+
+
+def folded(packed: Column | str) -> Column:
+    """The upper and lower 32 bits of a 64-bit value, xored into an INT."""
+    x = col(packed)
+    low = x.bitwiseXOR(F.shiftrightunsigned(x, 32)).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+    return F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int")
+
+
+def ceil_div(a: Column | str, b: Column | str) -> Column:
+    """a / b, rounded up, for integers of which b is above 0."""
+    return F.ceil(col(a) / col(b)).cast("bigint")
+
+
+def mebibytes(size: Column | str) -> Column:
+    return col(size).cast("double") / float(1 << 20)
+
+
+#: Scalar helpers by the name under which register() makes them known to SQL: (arguments, result type, expression).
+HELPERS = {
+    "kmer_revcomp": ("s STRING", "STRING", "translate(reverse(s), 'ACGT', 'TGCA')"),
+    "kmer_canonical": ("s STRING", "STRING", "least(s, translate(reverse(s), 'ACGT', 'TGCA'))"),
+    "kmer_pack": ("s STRING", "BIGINT", "cast(conv(translate(s, 'ACGT', '0123'), 4, 10) AS BIGINT)"),
+    "phred_error": ("q STRING", "DOUBLE", "pow(10.0D, -(ascii(q) - 33) / 10.0D)"),
+}
+
+
+def register(spark) -> list[str]:
+    """Make HELPERS functions of the session's SQL; Catalyst puts their bodies in place of the calls."""
+    for name, (arguments, result, body) in HELPERS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
+    return list(HELPERS)

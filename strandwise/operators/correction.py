@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from abc import ABC, abstractmethod
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from strandwise.functions import kmers as fk
 
 from .kernels.conservative import Corrector as ConservativeCorrector
 from .kernels.lookup import SolidSet
+from .kernels.paths import ConsensusCorrector, ScoredCorrector
 
 
 def solid_set(solid: DataFrame, k: int, most_bytes: int = 2 << 30) -> SolidSet:
@@ -31,24 +33,71 @@ def solid_set(solid: DataFrame, k: int, most_bytes: int = 2 << 30) -> SolidSet:
     return SolidSet(left >> np.uint64(64 - 2 * k) if k < 32 else left, packed.column("m").to_numpy(), k)
 
 
-def corrector(algorithm: str, solid: SolidSet, threshold: int, settings: Settings, qs_offset: int = 33, qs_cutoffs: tuple[int, int] = (0, 0)):
-    if algorithm == "conservative":
-        return ConservativeCorrector(solid, threshold, settings.conservative)
-    from .kernels.paths import ConsensusCorrector, ScoredCorrector
+class Algorithm(ABC):
+    """What a corrector must offer to be registered and run over reads."""
 
-    if algorithm == "consensus":
-        return ConsensusCorrector(solid, settings.consensus, qs_offset, *qs_cutoffs)
+    #: The status of reads that settled() marks.
+    SETTLED = "unchanged"
+
+    @abstractmethod
+    def correct(self, bases: str, quals: str) -> tuple[str, str, str]:
+        """(bases, quals, status) of one read."""
+
+    def settled(self, bases: pa.Array) -> np.ndarray:
+        """Which reads of a batch correct() would give back as they are; none, unless a corrector can tell."""
+        return np.zeros(len(bases), bool)
+
+
+#: name -> (solid, threshold, settings, qs_offset, qs_cutoffs) -> Algorithm
+REGISTRY: dict[str, Callable[..., Algorithm]] = {}
+
+
+def algorithm(name: str):
+    """Register a maker of correctors by name."""
+
+    def register(make):
+        REGISTRY[name.lower()] = make
+        return make
+
+    return register
+
+
+@algorithm("conservative")
+def conservative(solid, threshold, settings, qs_offset, qs_cutoffs):
+    return ConservativeCorrector(solid, threshold, settings.conservative)
+
+
+@algorithm("consensus")
+def consensus(solid, threshold, settings, qs_offset, qs_cutoffs):
+    return ConsensusCorrector(solid, settings.consensus, qs_offset, *qs_cutoffs)
+
+
+@algorithm("scored")
+def scored(solid, threshold, settings, qs_offset, qs_cutoffs):
     return ScoredCorrector(solid, settings.scored, qs_offset)
 
 
-def correct(reads: DataFrame, kernel) -> DataFrame:
+for _known in (ConservativeCorrector, ConsensusCorrector, ScoredCorrector):
+    Algorithm.register(_known)
+
+
+def corrector(name: str, solid: SolidSet, threshold: int, settings: Settings, qs_offset: int = 33, qs_cutoffs: tuple[int, int] = (0, 0)) -> Algorithm:
+    if name.lower() not in REGISTRY:
+        raise ValueError(f"no algorithm {name}; there are {', '.join(sorted(REGISTRY))}")
+    return REGISTRY[name.lower()](solid, threshold, settings, qs_offset, qs_cutoffs)
+
+
+def correct(reads: DataFrame, kernel: Algorithm, held: list | None = None) -> DataFrame:
     """reads (read_id, name, bases, quals, ...) with corrected bases and quals, plus n_corrections and status.
 
     n_corrections counts the positions that differ (0 if the read was trimmed). One pass, no shuffle.
     Reads that the corrector would give back as they are, by their solid windows alone, are found for
-    a whole batch at once; only the others are walked one by one.
+    a whole batch at once; only the others are walked one by one. The broadcast is added to `held`,
+    for the caller to unpersist once the result has been written.
     """
     shared = reads.sparkSession.sparkContext.broadcast(kernel)
+    if held is not None:
+        held.append(shared)
     names = reads.columns
     b, q = names.index("bases"), names.index("quals")
 

@@ -20,6 +20,16 @@ def csv_lines(solid: DataFrame) -> DataFrame:
     return solid.select(F.concat_ws(",", fk.pack_left("kmer").cast("string"), F.col("m").cast("string")).alias("value"))
 
 
+def count_lines(counts: DataFrame) -> DataFrame:
+    """'packed,count' lines of all counted k-mers, the counts whole."""
+    return counts.select(F.concat_ws(",", fk.pack_left("kmer").cast("string"), F.col("cnt").cast("string")).alias("value"))
+
+
+def read_counts(spark: SparkSession, path: str, k: int) -> DataFrame:
+    rows = spark.read.schema("packed BIGINT, cnt BIGINT").csv(path)
+    return rows.select(fk.unpack_left("packed", k).alias("kmer"), "cnt")
+
+
 def read_csv(spark: SparkSession, path: str, k: int, threshold: int = 0) -> DataFrame:
     """The solid set from such lines, k-mers of at least `threshold`."""
     rows = spark.read.schema("packed BIGINT, m INT").csv(path)

@@ -71,27 +71,27 @@ def run(spark: SparkSession, inputs: list[str], output: str, settings: Settings,
     """Correct one FASTQ file, or two of mates; returns what was chosen, counted and how long phases took.
 
     Writes <output>/strandwise-output/: histo.qs, histo.kmer, solidkmers.csv and output1/<ALGORITHM>
-    (output2 for the second file), replacing what is there; with `merged`, also <merged>/<file>.<ALGORITHM>.
+    (output2 for the second file), replacing what is there, compressed as the input is unless the
+    settings say how ("none": not); with `merged`, also <merged>/<file>.<ALGORITHM>.
     """
     timers, base = Timers(), f"{output.rstrip('/')}/{ROOT}"
     with timers.phase("scan"):
-        files = [fastq.read(spark, p, settings.partitions) for p in inputs]
+        files = [fastq.read(spark, p, settings.partitions).persist() for p in inputs]
         if len(files) == 2:
-            fastq.read_pairs(spark, *inputs, settings.partitions)  # as many records in both
+            fastq.check_mates(*inputs, *(f.count() for f in files))
         reads = files[0] if len(files) == 1 else files[0].unionByName(files[1])
-        reads = reads.persist()
     n_as_a = settings.algorithms == ("conservative",)
     qs_hist = None
     if "consensus" in settings.algorithms:
         with timers.phase("quality histogram"):
             qs = spectrum.qs_histogram(reads).persist()
             qs_hist = _bins(qs)
-            _lines(qs, f"{base}/histo.qs")
+            write_histogram(qs, f"{base}/histo.qs")
     with timers.phase("k-mer counting"):
         counts = spectrum.count_kmers(reads, settings.k, settings.kmer_threshold or spectrum.MIN_COUNT, n_as_a).persist()
         hist = spectrum.kmer_histogram(counts).persist()
         kmer_hist = _bins(hist)
-        _lines(hist, f"{base}/histo.kmer")
+        write_histogram(hist, f"{base}/histo.kmer")
     with timers.phase("analysis"):
         chosen, disabled = choose(settings, kmer_hist, qs_hist, files[0])
     lowest = min(t for t, _, _ in chosen.values())
@@ -103,14 +103,17 @@ def run(spark: SparkSession, inputs: list[str], output: str, settings: Settings,
         with timers.phase("load solid k-mers"):
             kernel = correction.corrector(name, correction.solid_set(solid.refiltered(trusted, threshold), settings.k, settings.max_solid_bytes), threshold, settings, offset, cuts)
         for i, (path, part) in enumerate(zip(inputs, files), 1):
-            target = f"{base}/output{i}/{name.upper()}"
+            target, compression, held = f"{base}/output{i}/{name.upper()}", settings.compression or fastq.codec_name(path), []
             with timers.phase("correction"):
-                fastq.write(correction.correct(part, kernel), target, settings.keep_order, settings.compression)
+                fastq.write(correction.correct(part, kernel, held), target, settings.keep_order, compression)
+            for broadcast in held:
+                broadcast.unpersist()
             if merged:
                 with timers.phase("merge"):
-                    merge(spark, target, f"{merged.rstrip('/')}/{path.rstrip('/').rsplit('/', 1)[-1]}.{name.upper()}")
+                    ending = {"gzip": ".gz", "bzip2": ".bz2"}.get(compression, "")
+                    merge(spark, target, f"{merged.rstrip('/')}/{path.rstrip('/').rsplit('/', 1)[-1]}.{name.upper()}{ending}")
         report["algorithms"][name] = {"threshold": threshold, "qs_offset": offset, "qs_cutoffs": cuts, "solid": sum(kmer_hist[threshold:])}
-    for cached in (reads, counts, hist):
+    for cached in (*files, counts, hist):
         cached.unpersist()
     return report | {"seconds": dict(timers)}
 
@@ -120,7 +123,7 @@ def _text(spark: SparkSession, lines: DataFrame, target: str) -> None:
     merge(spark, f"{target}.parts", target, delete=True)
 
 
-def _lines(histogram: DataFrame, target: str) -> None:
+def write_histogram(histogram: DataFrame, target: str) -> None:
     """bin:count lines of a histogram, in order of the bins."""
     rows = histogram.orderBy("bin").select(F.concat_ws(":", "bin", "n").alias("value")).coalesce(1)
     _text(histogram.sparkSession, rows, target)

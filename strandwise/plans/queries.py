@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from strandwise.config import Settings
 from strandwise.functions import kmers as fk
 from strandwise.operators import correction, order, profiles, setops, solid, spectrum, thresholds, votes
+from strandwise.plans import pipeline
 from strandwise.sources import fastq
+from strandwise.sources.merge import merge
 from strandwise.sources.staging import scratch
 from strandwise.streaming import counts as streaming
 
@@ -528,6 +530,126 @@ def stream_kmer_count(spark, sf_dir):
     return streaming.drain(streaming.count_stream(stream, K, MIN), f"kmers_{folder.rsplit('-', 1)[-1]}", f"{folder}/state")
 
 
+NAMED = f"WITH {READS}, {PAIRS}, mated AS (SELECT pair_id, '@r' || pair_id AS name, left_bases, left_quals, right_bases, right_quals FROM pairs WHERE length(right_bases) > 0)"
+
+
+@query(f"{NAMED} SELECT name || '/1' AS left_name, left_bases, left_quals, name || '/2' AS right_name, right_bases, right_quals FROM mated")
+def fastq_pairs(spark, sf_dir):
+    """Mates written as two FASTQ folders and read again as pairs by their place."""
+    p, folder = pairs(spark, sf_dir).where(F.length("right.bases") > 0), scratch(spark)
+    for side, tag in (("left", "/1"), ("right", "/2")):
+        mate = p.select(F.col("pair_id").alias("read_id"), F.concat(F.lit("@r"), "pair_id", F.lit(tag)).alias("name"), f"{side}.bases", f"{side}.quals")
+        fastq.write(mate, f"{folder}/{side}")
+    out = fastq.read_pairs(spark, f"{folder}/left", f"{folder}/right")
+    return out.select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("left", "right") for c in ("name", "bases", "quals")))
+
+
+def _through(codec: str):
+    def run(spark, sf_dir):
+        """Written with the codec, whose files are read by one task each."""
+        folder = f"{scratch(spark)}/fastq"
+        fastq.write(named_reads(spark, sf_dir), folder, compression=codec)
+        return fastq.read(spark, folder).select("name", "bases", "quals")
+
+    run.__name__ = f"fastq_{codec}"
+    return run
+
+
+for _codec in ("gzip", "bzip2"):
+    query(f"WITH {READS} SELECT '@r' || read_id AS name, bases, quals FROM reads WHERE length(bases) > 0")(_through(_codec))
+
+
+@query(f"WITH {READS} SELECT '@r' || read_id AS name, bases, quals FROM reads WHERE length(bases) > 0")
+def merged_fastq(spark, sf_dir):
+    """Ordered parts joined into one file, which is read again by byte ranges."""
+    folder = scratch(spark)
+    fastq.write(named_reads(spark, sf_dir), f"{folder}/parts")
+    merge(spark, f"{folder}/parts", f"{folder}/all.fastq", delete=True)
+    return fastq.read(spark, f"{folder}/all.fastq").select("name", "bases", "quals")
+
+
+@query(f"{BASE} SELECT * FROM solid WHERE m >= 5")
+def solid_csv_scan(spark, sf_dir):
+    """The solid set written as lines and read again from a higher threshold on."""
+    folder = f"{scratch(spark)}/solid"
+    solid.csv_lines(trusted(spark, sf_dir)).write.text(folder)
+    return solid.read_csv(spark, folder, K, 5)
+
+
+@query(f"{BASE} SELECT kmer, cnt FROM cnts")
+def kmer_csv_scan(spark, sf_dir):
+    """All k-mers seen more than once, with their whole counts, written as lines and read again."""
+    folder = f"{scratch(spark)}/kmers"
+    solid.count_lines(counts(spark, sf_dir)).write.text(folder)
+    return solid.read_counts(spark, folder, K)
+
+
+@query(f"{HIST} SELECT bin, n FROM h")
+def histogram_scan(spark, sf_dir):
+    """The histogram written as bin:count lines and read again."""
+    path = f"{scratch(spark)}/histo.kmer"
+    pipeline.write_histogram(histogram(spark, sf_dir), path)
+    return pipeline.read_histogram(spark, path)
+
+
+@query(f"WITH {READS}, {windows_sql()} SELECT canon AS kmer, least(count(*), 255)::INTEGER AS m FROM win GROUP BY 1 HAVING count(*) >= 4")
+def threshold_override(spark, sf_dir):
+    """A threshold given by the user is the counting minimum too."""
+    settings = Settings(k=K, kmer_threshold=4)
+    return solid.solid_kmers(counts(spark, sf_dir, settings.kmer_threshold), settings.kmer_threshold)
+
+
+def grouped_sql(column: str) -> str:
+    return " || ".join(f"reverse(rpad(substr({column}, {i + 1}, 4), 4, 'A'))" for i in range(0, K, 4))
+
+
+@query(f"{KMERS}, rcs AS (SELECT kmer, translate(reverse(kmer), 'ACGT', 'TGCA') AS rc FROM ks) SELECT kmer, ({grouped_sql('kmer')}) < ({grouped_sql('rc')}) AS leads FROM rcs")
+def kmer_orientation(spark, sf_dir):
+    return distinct_kmers(spark, sf_dir).select("kmer", fk.leads("kmer").alias("leads"))
+
+
+#: 64-bit products without overflow, by 128-bit integers.
+MIX = "x AS (SELECT kmer, list_sum(list_transform(range(0, {K}), lambda i: (instr('ACGT', substr(kmer, i + 1, 1)) - 1) * (1::BIGINT << (2 * ({K} - 1 - i)))))::UBIGINT AS p FROM ks)".replace("{K}", str(K))
+LOW64 = lambda a, f: f"((({a})::HUGEINT * {f & 0xFFFFFFFF}) % 18446744073709551616 + (((({a})::HUGEINT * {f >> 32}) % 4294967296) * 4294967296)) % 18446744073709551616"
+
+
+@query(
+    f"""{KMERS}, {MIX},
+a AS (SELECT kmer, p, ({LOW64('xor(p, p >> 33)', 0xFF51AFD7ED558CCD)})::UBIGINT AS v FROM x),
+b AS (SELECT kmer, p, ({LOW64('xor(v, v >> 33)', 0xC4CEB9FE1A85EC53)})::UBIGINT AS v FROM a),
+c AS (SELECT kmer, p, xor(v, v >> 33) AS v FROM b),
+e AS (SELECT kmer, v, xor(v, v >> 32) % 4294967296 AS low FROM c)
+SELECT kmer, (CASE WHEN v >= 9223372036854775808 THEN v::HUGEINT - 18446744073709551616 ELSE v::HUGEINT END)::BIGINT AS mixed,
+  (CASE WHEN low >= 2147483648 THEN low::HUGEINT - 4294967296 ELSE low::HUGEINT END)::INTEGER AS folded FROM e"""
+)
+def kmer_hashes(spark, sf_dir):
+    k = distinct_kmers(spark, sf_dir).select("kmer", fk.mixed(fk.pack("kmer")).alias("mixed"))
+    return k.select("kmer", "mixed", fk.folded("mixed").alias("folded"))
+
+
+@query(f"WITH {READS}, s AS (SELECT doc_id, length(s)::BIGINT AS n FROM d WHERE s IS NOT NULL) SELECT doc_id, n, (n + {WIDTH - 1}) // {WIDTH} AS full_reads, round(n / 1048576.0, 6)::DOUBLE AS mib FROM s")
+def read_volume(spark, sf_dir):
+    """Letters of every document, the reads they fill, rounded up, and their size in MiB."""
+    n = documents(spark, sf_dir).where("s is not null").select("doc_id", F.length("s").cast("bigint").alias("n"))
+    return n.select("doc_id", "n", fk.ceil_div("n", F.lit(WIDTH)).alias("full_reads"), F.round(fk.mebibytes("n"), 6).alias("mib"))
+
+
+@query(f"{KMERS} SELECT kmer, translate(reverse(kmer), 'ACGT', 'TGCA') AS rc, least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA')) AS canon, list_sum(list_transform(range(0, {K}), lambda i: (instr('ACGT', substr(kmer, i + 1, 1)) - 1) * (1::BIGINT << (2 * ({K} - 1 - i)))))::BIGINT AS packed FROM ks")
+def registered_helpers(spark, sf_dir):
+    """The helpers by their names in SQL."""
+    fk.register(spark)
+    return distinct_kmers(spark, sf_dir).selectExpr("kmer", "kmer_revcomp(kmer) AS rc", "kmer_canonical(kmer) AS canon", "kmer_pack(kmer) AS packed")
+
+
+@query(f"WITH {READS} SELECT read_id, bases, quals FROM reads WHERE length(bases) > 0")
+def ranged_output(spark, sf_dir):
+    """Reads dealt to ranges of their ids without a sort within, written and read again: no order is promised, nothing is lost."""
+    folder = f"{scratch(spark)}/ranges"
+    fastq.write(named_reads(spark, sf_dir), folder, keep_order=False)
+    back = fastq.read(spark, folder)
+    return back.select(F.expr("cast(substr(name, 3) as bigint)").alias("read_id"), "bases", "quals")
+
+
 def corrected_by(algorithm: str, low: int = 3):
     def run(spark, sf_dir):
         r = reads(spark, sf_dir)

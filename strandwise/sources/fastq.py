@@ -48,6 +48,23 @@ def codec(path: str):
     return next((f for end, f in CODECS.items() if path.endswith(end)), None)
 
 
+def codec_name(path: str) -> str | None:
+    """'gzip' or 'bzip2' by the ending of the file's name (of a folder, its first file's), as text writers call it."""
+    found = files(path)
+    return next((name for end, name in ((".gz", "gzip"), (".bz2", "bzip2")) if found and found[0][0].endswith(end)), None)
+
+
+def first_record(path: str) -> int:
+    """Bytes of the first record, line ends included: what one read takes; 0 for an empty file."""
+    where = files(path)[0][0]
+    fs, at = opened(where)
+    unpack = codec(where)
+    with fs.open_input_stream(at, compression=None) as raw:
+        stream = unpack(raw) if unpack else raw
+        row = next(records(stream, 0, None, where), None)
+    return sum(len(x) for x in row[1:]) + 5 if row else 0
+
+
 def sniff(path: str) -> str:
     """'fastq' or 'fasta' by the first byte of the file; compressed ones are read that far too."""
     fs, at = opened(path)
@@ -194,7 +211,11 @@ def read(spark: SparkSession, path: str, partitions: int | None = None) -> DataF
 
 
 def ordinals(reads: DataFrame) -> DataFrame:
-    """reads plus ordinal, their number in partition order; only one count per partition is on the driver."""
+    """reads plus ordinal, their number in partition order; only one count per partition is on the driver.
+
+    For reads as read() gives them, whose partitions are byte ranges and the same in every job. Where
+    rows were dealt by ranges drawn at run time, operators.order.numbered() counts them.
+    """
     tagged = reads.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
     sizes = {r["_p"]: r["n"] for r in tagged.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -206,19 +227,24 @@ def ordinals(reads: DataFrame) -> DataFrame:
     return tagged.withColumn("ordinal", base + (F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33))).drop("_p", "_m")
 
 
-def read_pairs(spark: SparkSession, left: str, right: str, partitions: int | None = None) -> DataFrame:
-    """pair_id, left, right: record i of one file with record i of the other; both need as many records."""
-    if bool(codec(left)) != bool(codec(right)):
+def check_mates(left: str, right: str, n: int, m: int) -> None:
+    """FormatError unless both files are compressed or neither, and hold n = m records."""
+    if bool(codec_name(left)) != bool(codec_name(right)):
         raise FormatError("either both files are compressed or neither")
-    a, b = (ordinals(read(spark, p, partitions)).select("ordinal", F.struct("name", "bases", "quals").alias(s), F.col("read_id").alias(f"at_{s}")) for p, s in ((left, "left"), (right, "right")))
-    n, m = a.count(), b.count()
     if n != m:
         raise FormatError(f"{left} has {n} records, {right} {m}")
+
+
+def read_pairs(spark: SparkSession, left: str, right: str, partitions: int | None = None) -> DataFrame:
+    """pair_id, left, right: record i of one file with record i of the other; both need as many records."""
+    a, b = (ordinals(read(spark, p, partitions)).select("ordinal", F.struct("name", "bases", "quals").alias(s), F.col("read_id").alias(f"at_{s}")) for p, s in ((left, "left"), (right, "right")))
+    check_mates(left, right, a.count(), b.count())
     return a.join(b, "ordinal").select(F.col("ordinal").alias("pair_id"), "left", "right")
 
 
 def write(reads: DataFrame, path: str, keep_order: bool = True, compression: str | None = None, key: str = "read_id") -> None:
-    """Four-line records as text parts; with keep_order the parts, by name, hold the reads by ascending key."""
-    ordered = reads.repartitionByRange(key).sortWithinPartitions(key) if keep_order else reads
+    """Four-line records as text parts; with keep_order the parts, by name, hold the reads by ascending key, else only ranges of it."""
+    ranges = reads.repartitionByRange(key)
+    ordered = ranges.sortWithinPartitions(key) if keep_order else ranges
     text = ordered.select(fk.fastq_text("name", "bases", "quals").alias("value"))
     text.write.mode("overwrite").option("compression", compression or "none").text(path)
