@@ -26,6 +26,8 @@ STARTS, ENDS = (4, 5, 6), (4, 5)
 WIDTH = 1 + len(STARTS) + len(ENDS)
 #: Features that fewer documents have don't count; sequences are taught in segments of so many words; steps, decay of weights, learning rate.
 LEAST, SEGMENT, STEPS, DECAY, RATE = 3, 128, 60, 3e-4, 0.1
+#: Tokens whose slopes are computed together; all count in every step.
+PORTION = 1 << 19
 
 
 def bucket(name: str) -> int:
@@ -166,9 +168,9 @@ class Constrained:
         self.y, self.docs = y, len(y)
         later = range(1, len(self.alive))
         none = [np.empty(0, np.int64)]
-        self.ahead = np.concatenate([np.arange(self.first[k], self.first[k] + self.alive[k]) for k in later] or none)
-        self.back = np.concatenate([np.arange(self.first[k - 1], self.first[k - 1] + self.alive[k]) for k in later] or none)
-        self.owner = np.concatenate([owner[self.order[:n]] for n in self.alive] or none)
+        self.ahead = np.concatenate([np.arange(self.first[k], self.first[k] + self.alive[k]) for k in later] or none).astype(np.int32)
+        self.back = np.concatenate([np.arange(self.first[k - 1], self.first[k - 1] + self.alive[k]) for k in later] or none).astype(np.int32)
+        self.owner = np.concatenate([owner[self.order[:n]] for n in self.alive] or none).astype(np.int32)
 
     def places(self) -> list[np.ndarray]:
         """Where the tokens of each segment stand, in the segments' own order."""
@@ -217,7 +219,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, st
         share = (y.sum() + 0.5) / (len(y) + 1)  # nothing to tell apart: every document gets the labels' share
         return Tagger([], [], -4.0, np.zeros((2, 2)), [np.log(share / (1 - share)), 0, 0, 0])
     alone = without_copies([d[1].view(np.uint64) >> np.uint64(32) for d in docs])
-    docs, y = [docs[i] for i in alone], y[alone]
+    docs, y = [docs[i] for i in alone], y[alone]  # those left have words
     if not len(docs) or y.min() == y.max():
         return fit([], y)
     _, rows, inverse = np.unique(np.concatenate([d[1] for d in docs]), return_index=True, return_inverse=True)
@@ -235,21 +237,27 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, st
     row, slot = np.nonzero(used[column])
     column = column[row, slot]
 
-    segments = [(i, d[a : a + SEGMENT]) for i, d in enumerate(ids) for a in range(0, len(d), SEGMENT)]
-    constrained = Constrained(np.array([len(x) for _, x in segments]), np.array([i for i, _ in segments]), y)
-    tokens = np.empty(sum(len(x) for _, x in segments), np.int64)
-    for place, (_, x) in zip(constrained.places(), segments):
-        tokens[place] = x
+    portions = []  # (which documents, their likelihood, which word each token is), of about PORTION tokens
+    ends = np.cumsum([len(d) for d in ids])
+    for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ends // PORTION)) + 1):
+        segments = [(i, ids[k][a : a + SEGMENT]) for i, k in enumerate(part) for a in range(0, len(ids[k]), SEGMENT)]
+        constrained = Constrained(np.array([len(x) for _, x in segments], np.int64), np.array([i for i, _ in segments], np.int64), y[part])
+        tokens = np.empty(sum(len(x) for _, x in segments), np.int32)
+        for place, (_, x) in zip(constrained.places(), segments):
+            tokens[place] = x
+        portions.append((part, constrained, tokens))
 
     n, share = len(known), y.mean()
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     theta = np.concatenate([np.zeros(n), [-4.0], np.zeros(4)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        score = np.bincount(row, theta[column], len(rows))[tokens] + theta[n]
-        _, slope, pairs = constrained(score, theta[n + 1 :].reshape(2, 2), weight)
-        by_word = np.bincount(tokens, slope, len(rows))
-        g = np.concatenate([np.bincount(column, by_word[row], n), [slope.sum()], pairs.ravel()]) / len(y)
+        of_word, by_word, rest = np.bincount(row, theta[column], len(rows)) + theta[n], np.zeros(len(rows)), np.zeros(5)
+        for part, constrained, tokens in portions:
+            _, slope, pairs = constrained(of_word[tokens], theta[n + 1 :].reshape(2, 2), weight[part])
+            by_word += np.bincount(tokens, slope, len(rows))
+            rest += [slope.sum(), *pairs.ravel()]
+        g = np.concatenate([np.bincount(column, by_word[row], n), rest]) / len(y)
         g[:n] += DECAY * theta[:n]
         g[n + 1 :] += 1e-3 * theta[n + 1 :]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -257,7 +265,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, st
     w, bias, t = theta[:n], theta[n], theta[n + 1 :].reshape(2, 2)
     tagger = Tagger(known[used], w[used], bias, t, np.zeros(4))
     by_word = np.bincount(row, w[column], len(rows)) + bias
-    x = np.array([(1.0, *summary(p)) for p in marginals([by_word[d] for d in ids], t)])
+    x = np.array([(1.0, *summary(p)) for part, _, _ in portions for p in marginals([by_word[ids[k]] for k in part], t)])
     mean, spread = x[:, 1:].mean(0), x[:, 1:].std(0) + 1e-6
     z = np.concatenate([x[:, :1], (x[:, 1:] - mean) / spread], 1)
     c = np.zeros(4)
@@ -290,9 +298,11 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Tagger:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], ["doc_id", "tokens", "words", "features", "y"])
 
     chosen = sample(docs, labels.where("toxic in (0, 1)"), "toxic", most).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("y", F.col("y").cast("int"))
-    rows = sorted(chosen.mapInArrow(run, "doc_id long, tokens binary, words binary, features binary, y int").collect())
-    read = lambda x, kind: np.frombuffer(bytes(x), kind)
-    return fit([(read(r["tokens"], "<i4"), read(r["words"], "<i8"), read(r["features"], "<i4").reshape(-1, WIDTH)) for r in rows], np.array([r["y"] for r in rows], float))
+    rows = chosen.mapInArrow(run, "doc_id long, tokens binary, words binary, features binary, y int").toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "tokens", "words", "y")]).combine_chunks()
+    read = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
+    parts = zip(*(rows.column(c) for c in ("tokens", "words", "features")))
+    return fit([(read(a, "<i4"), read(b, "<i8"), read(c, "<i4").reshape(-1, WIDTH)) for a, b, c in parts], rows.column("y").to_numpy().astype(float))
 
 
 def tag(docs: DataFrame, tagger: Tagger, threshold: float = 0.5, together: int = 2048) -> DataFrame:
