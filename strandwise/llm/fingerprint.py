@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strandwise.operators.order import numbered
-
 from .shared import GAP, free, fresh, table
 
 K, SHINGLE = 128, 5
@@ -84,7 +82,7 @@ def with_next(docs: DataFrame, key: str, order: list[str], carried: list[str], p
     """Add next_<c> for each carried column: its value in the next row ascending by key (after the last: the first).
 
     Rows with equal keys follow each other by the columns in `order`; null keys come last. Keys alone
-    are sorted first, in ranges that are written; every so many rows one is a bound: `per_bucket`,
+    are sorted first, in ranges that are written; of each range every so many rows one is a bound: `per_bucket`,
     more so that there are about `buckets`, but never more than `most_rows`, so that beyond that the
     buckets grow in number with the rows and not in size. A bound is the key and the first 64
     characters of the first column of `order`, so rows without key, or with one key, are split too.
@@ -96,10 +94,12 @@ def with_next(docs: DataFrame, key: str, order: list[str], carried: list[str], p
     k, t, b, to, at, x = (free(c, names) for c in ("_key", "_tie", "_bucket", "_to", "_at", "_copy"))
     tie = F.coalesce(F.substr(F.col(order[0]).cast("string"), F.lit(1), F.lit(64)), F.lit("")) if order else F.lit("")
     keyed = docs.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(LAST)), t: tie})
-    sorted_keys = numbered(keyed.select(F.col(k).alias("k"), F.col(t).alias("t")), ["k", "t"], fresh(docs.sparkSession, "keys"))
+    folder = fresh(docs.sparkSession, "keys")
+    keyed.select(F.col(k).alias("k"), F.col(t).alias("t")).repartitionByRange("k", "t").sortWithinPartitions("k", "t").write.parquet(folder)
+    sorted_keys = docs.sparkSession.read.schema("k bigint, t string").parquet(folder)
     n = sorted_keys.count()
     every = max(per_bucket, min(-(-n // buckets), most_rows))
-    firsts = sorted({(r["k"], r["t"]) for r in sorted_keys.where(F.col("ordinal") % every == 0).select("k", "t").collect()})
+    firsts = sorted({(r["k"], r["t"]) for r in sorted_keys.where(F.col("_metadata.row_index") % every == 0).select("k", "t").collect()})
     row = F.struct(F.col(k).alias("k"), F.col(t).alias("t"))
     start = F.get(bounds_column(firsts), F.col(b)) == row
     here = F.struct(F.col(b).alias("b"), F.lit(0).alias("x"))
