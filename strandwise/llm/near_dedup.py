@@ -100,13 +100,21 @@ def within(pairs: DataFrame, classes: DataFrame, far: int = FAR, keyed: int = KE
     return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def beside(pairs: DataFrame, column: str, texts: DataFrame) -> DataFrame:
-    """pairs plus data_<column>, the text of that side; a text that many pairs need is copied to several keys, which its pairs share out by hash."""
-    other = next(c for c in ("a", "b") if c != column)
-    fans = pairs.groupBy(column).agg(F.ceil(F.count("*") / FAN).cast("int").alias("_fan"))
-    dealt = pairs.join(fans, column).withColumn("_salt", F.pmod(F.xxhash64(other), F.col("_fan")).cast("int"))
-    copies = texts.select(F.col("doc_id").alias(column), F.col("data").alias(f"data_{column}")).join(fans, column).withColumn("_salt", F.explode(F.expr("sequence(0, _fan - 1)")))
-    return dealt.drop("_fan").join(copies.drop("_fan"), [column, "_salt"]).drop("_salt")
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, data_a, data_b) of (staged) pairs; a text that many pairs need is copied to several keys, which its pairs share out by hash.
+
+    Which texts are such hubs is found, and the pairs dealt, before any text moves; the other pairs
+    don't wait for it.
+    """
+    dealt, copies = pairs, {}
+    for side, other in (("a", "b"), ("b", "a")):
+        hubs = pairs.groupBy(side).agg(F.ceil(F.count("*") / FAN).cast("int").alias("_fan")).where("_fan > 1")
+        dealt = dealt.join(hubs, side, "left").withColumn(f"_salt_{side}", F.pmod(F.xxhash64(other), F.coalesce("_fan", F.lit(1))).cast("int")).drop("_fan")
+        own = texts.select(F.col("doc_id").alias(side), F.col("data").alias(f"data_{side}")).join(hubs, side, "left")
+        copies[side] = own.withColumn(f"_salt_{side}", F.explode(F.expr("sequence(0, coalesce(_fan, 1) - 1)"))).drop("_fan")
+    for side in ("a", "b"):
+        dealt = dealt.join(copies[side], [side, f"_salt_{side}"])
+    return dealt.select("a", "b", "data_a", "data_b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -125,7 +133,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
                 keep.append(bool(both) and 100 * both >= percent * (len(own) + len(last_set) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return beside(beside(pairs, "a", texts), "b", texts).select("a", "b", "data_a", "data_b").mapInArrow(run, "a long, b long")
+    return with_texts(pairs, texts).mapInArrow(run, "a long, b long")
 
 
 def open_links(members: DataFrame, classes: DataFrame, texts: DataFrame, tile: int = TILE, far: int = FAR, keyed: int = KEYED, chunks: int = CHUNKS, percent: int = PERCENT) -> DataFrame:

@@ -44,7 +44,7 @@ def features(word: str) -> list[int]:
 class Lookup(dict):
     """word -> value, forgotten when there are too many words."""
 
-    def __init__(self, value, most: int = 400_000):
+    def __init__(self, value, most: int = 200_000):
         self.value, self.most = value, most
 
     def __missing__(self, word: str):

@@ -123,7 +123,7 @@ def test_hub_texts_are_split(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "FAN", 4)
     texts = spark.createDataFrame([(i, f"t{i}".encode()) for i in range(40)], "doc_id long, data binary")
     pairs = [(i, 0) for i in range(1, 30)] + [(39, i) for i in range(20)]
-    out = near_dedup.beside(near_dedup.beside(spark.createDataFrame(pairs, "a long, b long"), "a", texts), "b", texts)
+    out = near_dedup.with_texts(spark.createDataFrame(pairs, "a long, b long"), texts)
     assert sorted((r["a"], r["b"], bytes(r["data_a"]), bytes(r["data_b"])) for r in out.collect()) == sorted((a, b, b"t%d" % a, b"t%d" % b) for a, b in pairs)
 
 
