@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, stage, table
+from .shared import components, lean, stage, table
 
 THRESHOLD, TILE = 0.93, 1024
 
@@ -98,7 +98,7 @@ def coded(classes: DataFrame) -> DataFrame:
                     code[i] = x.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(code, pa.binary()), pa.array(scale), pa.array(error)], [*others, "code", "scale", "error"])
 
-    return classes.select(*others, "embedding").mapInArrow(run, f"{fields}, code binary, scale double, error double")
+    return classes.select(*others, "embedding").mapInArrow(lean("embedding_dedup", run), f"{fields}, code binary, scale double, error double")
 
 
 def stars(rep: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

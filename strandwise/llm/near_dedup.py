@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import MapType, VariantType
 
-from .shared import LOWER, UPPER, WORD, components, free, stage, table
+from .shared import LOWER, UPPER, WORD, components, free, lean, stage, table
 from .shingles import MinHash, mixed, overlap, shingle_set, unpacked
 
 #: 64 slots in 8 chunks: two signatures that differ in at most 15 of these agree, but for one slot, in some chunk.
@@ -60,7 +60,7 @@ def signatures(docs: DataFrame, slots: int = SLOTS, keyed: int = KEYED) -> DataF
                 sigs.append(minhash(own) if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(lean("near_dedup", run), "doc_id long, n_shingles long, digest binary, sig binary")
 
 
 def chunk_keys(classes: DataFrame, keyed: int = KEYED, chunks: int = CHUNKS) -> DataFrame:
@@ -84,7 +84,7 @@ def chunk_keys(classes: DataFrame, keyed: int = KEYED, chunks: int = CHUNKS) ->
                     key = mixed(whole - part[:, omit] + salts[slot])
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), slot, np.int32)), ids], ["key", "slot", "doc_id"])
 
-    return classes.select("doc_id", "sig").mapInArrow(run, "key long, slot int, doc_id long")
+    return classes.select("doc_id", "sig").mapInArrow(lean("near_dedup", run), "key long, slot int, doc_id long")
 
 
 def within(pairs: DataFrame, classes: DataFrame, far: int = FAR, keyed: int = KEYED) -> DataFrame:
@@ -97,7 +97,7 @@ def within(pairs: DataFrame, classes: DataFrame, far: int = FAR, keyed: int = KE
                 yield batch.select([0, 1]).filter(pa.array((x != y).sum(1) + (xs != ys).sum(1) <= far))
 
     sig = lambda c: classes.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lean("near_dedup", run), "a long, b long")
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
                 keep.append(bool(both) and 100 * both >= percent * (len(own) + len(last_set) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return with_texts(pairs, texts).mapInArrow(run, "a long, b long")
+    return with_texts(pairs, texts).mapInArrow(lean("near_dedup", run), "a long, b long")
 
 
 def open_links(members: DataFrame, classes: DataFrame, texts: DataFrame, tile: int = TILE, far: int = FAR, keyed: int = KEYED, chunks: int = CHUNKS, percent: int = PERCENT) -> DataFrame:

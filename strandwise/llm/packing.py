@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import stage, table
+from .shared import lean, remembers, stage, table
 
 SEQUENCE = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -97,6 +97,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+remembers("packing", encoder.cache_clear)
+
+
 def pieces(docs: DataFrame, length: int = SEQUENCE, path: str | None = None, keep_ids: bool = False, end: int = 0) -> DataFrame:
     """Every document's ids and the id `end`, cut into pieces of at most `length`.
 
@@ -130,7 +133,7 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, path: str | None = None, kee
                 yield pa.RecordBatch.from_arrays(kept + more, [*others, "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
     schema = f"{fields}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(*others, "text").mapInArrow(run, schema)
+    return docs.select(*others, "text").mapInArrow(lean("packing", run), schema)
 
 
 def plan(histogram: dict[int, int], length: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
@@ -212,7 +215,7 @@ def packed(cut: DataFrame, length: int = SEQUENCE, key: tuple[str, ...] = ("doc_
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean("packing", run), f"{fields}, sequence_id long, offset long")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

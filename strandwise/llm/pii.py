@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import free, stage, table
+from .shared import free, lean, stage, table
 
 #: Kinds with a fixed definition, in order; their matches always count.
 BASE = ("email", "ip", "card", "phone")
@@ -148,7 +148,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 out.append([{"kind": k, "start": s, "end": e, "pattern": features(text, k, s, e)} for k, s, e in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(out, kind)], [*others, "found"])
 
-    return docs.select(*others, "text").mapInArrow(run, f"{fields}, found {SPANS}")
+    return docs.select(*others, "text").mapInArrow(lean("pii", run), f"{fields}, found {SPANS}")
 
 
 def unpacked(pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,7 +251,7 @@ def redact(docs: DataFrame) -> DataFrame:
             kept[body] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(kept, columns)
 
-    redacted = rows.mapInArrow(run, StructType(fields))
+    redacted = rows.mapInArrow(lean("pii", run), StructType(fields))
     return redacted.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

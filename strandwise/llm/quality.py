@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
-from .shared import table
+from .shared import lean, table
 from .toxicity import Lookup, sigmoid
 
 BUCKETS, SAMPLE = 1 << 18, 8000
@@ -140,7 +140,7 @@ def trained(docs: DataFrame, labels: DataFrame, column: str = "quality", most: i
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2), batch.column(3)], ["doc_id", "ids", "values", "y", "weight"])
 
     chosen = sample(docs, labels, column, most).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = sorted(chosen.mapInArrow(run, "doc_id long, ids binary, values binary, y double, weight double").collect())
+    rows = sorted(chosen.mapInArrow(lean("quality", run), "doc_id long, ids binary, values binary, y double, weight double").collect())
     vectors = [(np.frombuffer(bytes(r["ids"]), "<i4").astype(np.int64), np.frombuffer(bytes(r["values"]), "<f4").astype(float)) for r in rows]
     return fit(vectors, np.array([r["y"] for r in rows]), weight=np.array([r["weight"] for r in rows]))
 
@@ -183,7 +183,7 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
             expected = grades[0] + tails @ steps if len(steps) else np.full(len(tails), float(grades[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(list(tails), pa.list_(pa.float64()))], [*batch.schema.names, "expected_grade", "tails"])
 
-    return docs.mapInArrow(run, f"{fields}, expected_grade double, tails array<double>")
+    return docs.mapInArrow(lean("quality", run), f"{fields}, expected_grade double, tails array<double>")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -197,7 +197,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             tails = scorer.tails(batch.column(at))
             yield batch.filter(pa.array(tails[:, 0] >= least)) if tails.shape[1] else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean("quality", run), docs.schema)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,32 @@ def free(name: str, taken) -> str:
     return name
 
 
+#: What the operators remember in a Python worker between tasks: name -> how to forget it.
+_remembered: dict[str, Callable[[], object]] = {}
+
+
+def remembers(name: str, forget: Callable[[], object]) -> None:
+    _remembered[name] = forget
+
+
+def lean(name: str, run: Callable) -> Callable:
+    """run, for mapInArrow, in a worker that serves many operators: it forgets first what others than `name` remember.
+
+    At a task's end freed memory goes back to the system, so that a waiting worker doesn't hold it.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other, forget in _remembered.items():
+            if other != name:
+                forget()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 

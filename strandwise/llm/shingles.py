@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .shared import remembers
+
 WIDTH = 5
 #: Odd multipliers, one for each word of a shingle; made from a rule, any odd numbers do.
 FACTORS = np.array([xxhash.xxh3_64_intdigest(b"shingle%d" % i) | 1 for i in range(WIDTH)], np.uint64)
@@ -23,6 +25,7 @@ class Hashes(dict):
 
 
 _known = Hashes()
+remembers("near_dedup", _known.clear)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
-from .shared import table
+from .shared import lean, table
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, SAMPLE = 1 << 22, 8000
@@ -298,7 +298,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Tagger:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], ["doc_id", "tokens", "words", "features", "y"])
 
     chosen = sample(docs, labels.where("toxic in (0, 1)"), "toxic", most).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("y", F.col("y").cast("int"))
-    rows = chosen.mapInArrow(run, "doc_id long, tokens binary, words binary, features binary, y int").toArrow()
+    rows = chosen.mapInArrow(lean("toxicity", run), "doc_id long, tokens binary, words binary, features binary, y int").toArrow()
     rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "tokens", "words", "y")]).combine_chunks()
     read = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
     parts = zip(*(rows.column(c) for c in ("tokens", "words", "features")))
@@ -332,7 +332,7 @@ def tag(docs: DataFrame, tagger: Tagger, threshold: float = 0.5, together: int =
                     spans.append([{"start": m.start(), "end": m.end(), "p": float(q)} for m, q, b in zip(WORD.finditer(text), p, bad) if b] if bad.any() else [])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(score, pa.float64()), pa.array(spans, kind)], [*others, "score", "spans"])
 
-    return docs.select(*others, "text").mapInArrow(run, f"{fields}, score double, spans array<struct<start:long,end:long,p:double>>")
+    return docs.select(*others, "text").mapInArrow(lean("toxicity", run), f"{fields}, score double, spans array<struct<start:long,end:long,p:double>>")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
